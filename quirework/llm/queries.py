@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import runs, sql, visual_text
+from quirework.llm import languages, leaks, runs, sql, visual_text
 from quirework.session import table
 
 PADDLE = "paddleocr_split_ocr_reconciliation_summary_p102"
@@ -40,5 +40,36 @@ def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p5_found, p5_runs)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of an evaluation item."""
+    return leaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each evaluation item leaked."""
+    items = table(spark, folder, "eval_items")
+    return leaks.leak_report(leaks.leaked_passages(table(spark, folder, "documents"), items), items)
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    models = languages.fitted(table(spark, folder, "lang_samples"))
+    return languages.segment_languages(table(spark, folder, "documents"), models, label="lang")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages with a whole sentence in a document that its label does not name."""
+    return languages.unnamed_languages(_segments(spark, folder))
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's main language with confidence, and all its languages."""
+    return languages.document_languages(_segments(spark, folder))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each sentence with its language and confidence."""
+    return _segments(spark, folder).drop("named")
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p5_found, p5_runs, p6_found, p6_report, p8_found, p8_documents, p8_segments)}
 SQL = sql.SQL

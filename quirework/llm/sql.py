@@ -29,12 +29,26 @@ _BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u2
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 _FROM, _TO = "".join(a for a, _ in LOOKALIKES), "".join(b for _, b in LOOKALIKES)
 _CANON = (
-    f"nfc_normalize(translate(nfc_normalize(translate(replace(combined_recognized_text, chr(173) || chr(10), '-' || chr(10)), "
-    f"{_quoted(_WIDE + _BLANKS + _INVISIBLE)}, {_quoted(_PLAIN + ' ' * len(_BLANKS))})), {_quoted(_FROM)}, {_quoted(_TO)}))"
+    "nfc_normalize(translate(replace(combined_recognized_text, chr(173) || chr(10), '-' || chr(10)), "
+    f"{_quoted(_FROM + _WIDE + _BLANKS + _INVISIBLE)}, {_quoted(_TO + _PLAIN + ' ' * len(_BLANKS))}))"
 )
 _PADDLE = "paddleocr_split_ocr_reconciliation_summary_p102"
 
+_WORDS = (
+    "regexp_extract_all(replace(lower(nfc_normalize(translate(text, "
+    f"{_quoted(_WIDE + _INVISIBLE)}, {_quoted(_PLAIN)}))), 'ß', 'ss'), '[\\p{{L}}\\p{{M}}\\p{{Nd}}]+')"
+)
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS p FROM d)),
+iw AS (SELECT DISTINCT item_id, p FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) AS p FROM i)),
+leaks AS (SELECT doc_id, item_id, count(*) AS passages FROM dw JOIN iw USING (p) GROUP BY 1, 2)
+"""
+
 SQL = {
+    "p6_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
+    "p6_report": _LEAKS + """SELECT e.item_id, coalesce(n, 0) AS documents, coalesce(m, 0) AS most_passages FROM eval_items e
+LEFT JOIN (SELECT item_id, count(*) AS n, max(passages) AS m FROM leaks GROUP BY 1) USING (item_id)""",
     "p2_canonical": f"SELECT candidate_id, {_CANON} AS canonical_text FROM {_PADDLE}",
     "p2_found": f"""
 WITH c AS (SELECT candidate_id, scan_session_id AS s, combined_recognized_text AS t, {_CANON} AS look FROM {_PADDLE})
