@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import languages, leaks, runs, sql, visual_text
+from quirework.llm import languages, leaks, runs, scan_repair, sql, visual_text
+from quirework.operators import nested
 from quirework.session import table
 
 PADDLE = "paddleocr_split_ocr_reconciliation_summary_p102"
@@ -20,6 +21,25 @@ def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return visual_text.consistent_text(table(spark, folder, PADDLE), "candidate_id", "combined_recognized_text")
 
 
+def _noise(spark: SparkSession, folder: str) -> scan_repair.ScanNoise:
+    rows, reports = table(spark, folder, PADDLE), table(spark, folder, "ocr_quality_report_p008")
+    nodes = nested.low_confidence_table(reports).join(reports.select("report_id", "scan_session_id").distinct(), "report_id")
+    whole_id = F.when(F.col("node_id").startswith("p"), F.col("node_id")).otherwise(F.concat_ws("-", "page_id", "node_id"))
+    low = nodes.groupBy(F.col("scan_session_id"), whole_id.alias("source_text_node_id")).agg(F.min("confidence").alias("confidence"))
+    hints = rows.select("candidate_id", "scan_session_id", "source_text_node_id").join(low, ["scan_session_id", "source_text_node_id"]).select("candidate_id", "confidence")
+    return scan_repair.ScanNoise(rows, "candidate_id", "combined_recognized_text", "page_id", hints)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of scan noise in each candidate's text."""
+    return _noise(spark, folder).kinds()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate's text as continuous, repaired text."""
+    return _noise(spark, folder).repaired()
+
+
 def _label_runs(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "scanner_video_v3a2_temporal_labels")
     return runs.collapse_runs(labels, "recording_id", "frame_index", runs.plain_label("label"), F.lower("page_spread"), F.col("captured_at"))
@@ -71,5 +91,5 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).drop("named")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p5_found, p5_runs, p6_found, p6_report, p8_found, p8_documents, p8_segments)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p8_found, p8_documents, p8_segments)}
 SQL = sql.SQL
