@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import languages, leaks, runs, scan_repair, sql, visual_text
+from quirework.llm import languages, leaks, mixing, runs, scan_repair, sql, visual_text
 from quirework.operators import nested
 from quirework.session import table
 
@@ -71,6 +71,20 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_passages(table(spark, folder, "documents"), items), items)
 
 
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn documents with their uses."""
+    return _mixture(spark, folder).documents()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the drawn mix reaches."""
+    return _mixture(spark, folder).shares_reached()
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     models = languages.fitted(table(spark, folder, "lang_samples"))
     return languages.segment_languages(table(spark, folder, "documents"), models, label="lang")
@@ -91,5 +105,5 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).drop("named")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p8_found, p8_documents, p8_segments)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
 SQL = sql.SQL
