@@ -1,7 +1,7 @@
 """All queries of the core with their SQL twins."""
 
-from quirework.plans import pages, problems
+from quirework.plans import pages, problems, streams
 
-_MODULES = [problems, pages]
+_MODULES = [problems, pages, streams]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
