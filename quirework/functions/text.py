@@ -83,8 +83,7 @@ def number_prefix(text: Column | str) -> Column:
 def choice_options(text: Column | str) -> Column:
     """array<struct<label, text>> of the choices ①-⑤."""
     t, labels = _c(text), r"([①②③④⑤])\s*([^①②③④⑤]*)"
-    pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(labels), 1).alias("label"), F.regexp_extract_all(t, F.lit(labels), 2).alias("text"))
-    return F.transform(pairs, lambda p: F.struct(p["0"].alias("label"), F.trim(p["1"]).alias("text")))
+    return F.zip_with(F.regexp_extract_all(t, F.lit(labels), 1), F.regexp_extract_all(t, F.lit(labels), 2), lambda a, b: F.struct(a.alias("label"), F.trim(b).alias("text")))
 
 
 def labelled_items(text: Column | str, marks: str) -> Column:

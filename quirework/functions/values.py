@@ -58,7 +58,7 @@ def centre_inside(a: str, b: str) -> Column:
 
 def sign_hash(vector: Column | str) -> Column:
     """A 63-bit hash of a vector: bit k is set if element k is positive."""
-    bits = F.transform(F.slice(_c(vector), 1, 63), lambda v, k: F.when(v > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.slice(_c(vector), 1, 63), lambda v, k: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 

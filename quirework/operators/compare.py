@@ -118,7 +118,9 @@ def aligned_ratio(left: DataFrame, right: DataFrame, keys: list[str], order: str
             n[tag] += max(i2 - i1, j2 - j1)
         return pd.DataFrame([(*key, m.ratio(), n["equal"], n["replace"], n["insert"], n["delete"])], columns=[*keys, "ratio", "equal", "replaced", "inserted", "deleted"])
 
-    return left.select(*keys, order, value).groupBy(*keys).cogroup(right.select(*keys, order, value).groupBy(*keys)).applyInPandas(align, schema)
+    # Fresh aliases: both sides may come from one table.
+    side = lambda df: df.select(*[F.col(c).alias(c) for c in (*keys, order, value)]).groupBy(*keys)
+    return side(left).cogroup(side(right)).applyInPandas(align, schema)
 
 
 def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
