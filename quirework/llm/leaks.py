@@ -77,7 +77,7 @@ def _windows(id_type: str, min_words: int, rows: int, wanted=None):
                 owner, place, sig = owner[hit], place[hit], sig[hit]
             starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             words = [" ".join(texts[o][p - starts[o] : p - starts[o] + min_words]) for o, p in zip(owner.tolist(), place.tolist())]
-            yield pd.DataFrame({"id": ids[owner], "sig": sig.view(np.int64), "passage": words}).drop_duplicates()
+            yield pd.DataFrame({"id": ids[owner], "sig": sig.view(np.int64), "passage": pd.Series(words, dtype=object)}).drop_duplicates()
 
     return run
 
