@@ -15,6 +15,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quirework.session import cut_lineage
+
 # Letters and signs of other blocks that look like the letters and signs in the second row.
 LOOKALIKES = [
     ("АВЕКМНОРСТУХЅІЈԚԜ", "ABEKMHOPCTYXSIJQW"),  # Cyrillic capitals
@@ -211,7 +213,8 @@ def look_alike_pairs(rows: DataFrame, row_id: str, text: str, within: str) -> Da
     or a null group are in no pair.
     """
     canon = consistent_text(rows, row_id, text).withColumnRenamed(row_id, "__cid")
-    keyed = (
+    # Three digests a row, written once: the texts are brought to their form a single time however often the keys are read.
+    keyed = cut_lineage(
         rows.where(F.col(within).isNotNull() & F.col(text).isNotNull())
         .select(F.col(row_id).alias("__id"), F.col(within).alias("__g"), F.sha2(text, 256).alias("__spelling"))
         .join(canon, F.col("__id") == F.col("__cid"))
