@@ -7,7 +7,6 @@ total order of a key's rows, or the result depends on ties.
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -125,19 +124,12 @@ def grid_samples(rows: DataFrame, keys: list[str], frame: str, step: Column | in
     return rows.withColumn("__0", F.min(frame).over(Window.partitionBy(*keys))).where((F.col(frame) - F.col("__0")) % step == 0).drop("__0")
 
 
-def cadence_samples(rows: DataFrame, keys: list[str], time_s: str, interval: float, tie: str) -> DataFrame:
-    """Rows a sampler accepts that waits `interval` seconds after each accepted row (its grid drifts); key by key in time order."""
+def cadence_samples(rows: DataFrame, key: str, time_s: str, interval: float, row_id: str) -> DataFrame:
+    """(key, row_id) of the rows a sampler accepts that waits `interval` seconds after each accepted row (its grid drifts)."""
+    from quirework.streaming.frames import cadence
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time_s, tie])
-        keep, nxt = [], None
-        for t in part[time_s]:
-            keep.append(nxt is None or t >= nxt)
-            if keep[-1]:
-                nxt = t + interval
-        return part[keep]
-
-    return rows.groupBy(*keys).applyInPandas(pick, rows.schema)
+    named = rows.select(key, F.col(time_s).cast("double").alias("t"), F.col(row_id).cast("long").alias("frame"))
+    return cadence(interval).batch(named, key).select(key, F.col("frame").alias(row_id))
 
 
 def hold_pulses(presses: DataFrame, down: str, up: str, delay_ms: int, interval_ms: int) -> DataFrame:

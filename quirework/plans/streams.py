@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quirework.functions import values as V
 from quirework.operators import delivery, sequences, statistics
 from quirework.session import table
+from quirework.streaming import frames
 
 USER, ORDER = ["user_id"], ["ts", "event_id"]
 NOW = "2024-01-31 00:00:00"
@@ -182,7 +183,63 @@ def event_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 def event_cadence(spark: SparkSession, folder: str) -> DataFrame:
     """STM-01: events that a sampler accepts which waits a day after each one."""
     e = _events(spark, folder).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return sequences.cadence_samples(e.select("user_id", "event_id", "s"), USER, "s", 86400.0, "event_id").select("user_id", "event_id")
+    return sequences.cadence_samples(e, "user_id", "s", 86400.0, "event_id")
+
+
+def _frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled frames with what the stateful operators read."""
+    w = Window.partitionBy("recording_id").orderBy("frame_index")
+    f = _labels(spark, folder).withColumn("kind", _kind()).withColumn("spread", F.lower("page_spread"))
+    clean = F.col("kind") == "cleantransferable"
+    f = f.withColumn("before", F.lag("spread").over(w)).withColumn("n", F.row_number().over(w))
+    relation = F.when(F.col("spread").isNull() | F.col("before").isNull(), "SAME").when(F.col("spread") == F.col("before"), "REPEAT").otherwise("CHANGED")
+    return f.select(
+        "recording_id", (F.unix_micros(F.col("captured_at").cast("timestamp")) / 1e6).alias("t"), F.col("frame_index").cast("long").alias("frame"), relation.alias("relation"), clean.alias("eligible"), (F.col("n") % 20 == 1).alias("armed"),
+        F.col("spread").alias("value"), F.lit(None).cast("array<string>").alias("bank"), (relation == "CHANGED").alias("changed"), F.when(~clean, F.col("kind")).alias("reason"), clean.alias("down"),
+        F.when(relation == "CHANGED", "DIFFERENT").when(relation == "REPEAT", "SAME").otherwise("UNKNOWN").alias("identity"), (F.col("n") % 7 == 0).alias("numeric_differs"),
+        F.when(F.col("n") % 2 == 1, "PUT").otherwise("CONFIRM").alias("action"), F.coalesce("spread", F.lit("none")).alias("artifact"),
+    )
+
+
+def frame_page_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-04: page changes by hysteresis."""
+    return frames.page_change(2).batch(_frames(spark, folder), "recording_id")
+
+
+def frame_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-05: verdicts of the observation collector."""
+    return frames.collector(3, 2, 0, 5.0).batch(_frames(spark, folder), "recording_id")
+
+
+def frame_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-07: when the expensive check runs, counted by reason."""
+    return frames.verification().batch(_frames(spark, folder), "recording_id").groupBy("action", "reason").agg(F.count("*").alias("n"))
+
+
+def frame_guidance(spark: SparkSession, folder: str) -> DataFrame:
+    """WIN-09: reasons that held, with a cool-down."""
+    return frames.guidance(2, 0.5, 5.0).batch(_frames(spark, folder), "recording_id")
+
+
+def frame_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-06: how many artifacts each recording's ledger holds at its end."""
+    return frames.ledger(32).batch(_frames(spark, folder), "recording_id").groupBy("recording_id").agg(F.max("held").alias("held"), F.count_if("known").alias("known"))
+
+
+def frame_pulses(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-15: pulses while frames are clean."""
+    return frames.pulses().batch(_frames(spark, folder), "recording_id")
+
+
+def frame_fused_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-21: page changes by identity and visual or numeric evidence."""
+    return frames.fused_change(2).batch(_frames(spark, folder), "recording_id")
+
+
+def outbox_heartbeats(spark: SparkSession, folder: str) -> DataFrame:
+    """STM-10: outcomes of sequences in order of arrival, as the stateful operator gives them."""
+    o = _outbox(spark, folder).withColumn("arrival", F.unix_micros(F.col("delivered_at").cast("timestamp")) * 1000 + F.col("delivery_row_id") % 1000)
+    return frames.heartbeat().batch(o.select("scan_session_id", "arrival", "sequence", F.col("upload_digest").alias("digest")), "scan_session_id").groupBy("scan_session_id", "outcome").agg(F.count("*").alias("n"))
 
 
 def event_pulses(spark: SparkSession, folder: str) -> DataFrame:
@@ -396,5 +453,6 @@ QUERIES = {
         event_decisions, event_props, event_presence, event_hours, event_report, event_autocorrelation, event_effective_size, event_bootstrap, event_consensus, event_wilson, event_thresholds, event_indicators,
         event_percentiles, event_cadence, event_pulses, label_grid, label_consensus, label_transitions, outbox_last_state, outbox_conflicts, outbox_replays, outbox_gapless, outbox_cutoff, outbox_flush, outbox_retries,
         outbox_leases, outbox_bytes, outbox_counts, outbox_digests, outbox_canonical, spread_counts, spread_rollup, spread_queue, spread_nested, spread_orphans, spread_revisions,
+        frame_page_changes, frame_verdicts, frame_checks, frame_guidance, frame_ledger, frame_pulses, frame_fused_changes, outbox_heartbeats,
     )
 }
