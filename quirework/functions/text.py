@@ -173,10 +173,10 @@ def read_aloud(text: Column | str) -> Column:
     return squeezed(t)
 
 
-def formula_problem(latex: Column | str, longest: int = 2000) -> Column:
+def formula_problem(latex: Column | str, longest: int = 300) -> Column:
     """The first fault of a recognised formula: EMPTY, UNEXPECTED_SCRIPT, REPETITION, TOO_LONG, or null."""
     t = F.coalesce(_c(latex), F.lit(""))
-    return F.when(F.trim(t) == "", "EMPTY").when(t.rlike("[가-힣一-鿿]"), "UNEXPECTED_SCRIPT").when(t.rlike(r"(.{1,8}?)\1{11,}"), "REPETITION").when(F.char_length(t) > longest, "TOO_LONG")
+    return F.when(F.trim(t) == "", "EMPTY").when(t.rlike("[가-힣一-鿿]"), "UNEXPECTED_SCRIPT").when(t.rlike(r"(?s)(.{3,20}?)\1{4,}"), "REPETITION").when(F.char_length(t) > longest, "TOO_LONG")
 
 
 def hangul_parts(syllable: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirework.functions import text as X, values as V
+from quirework.functions import formulas as M, text as X, values as V
 from quirework.operators import compare, delivery, documents, sequences, statistics
 from quirework.session import table
 
@@ -113,6 +113,34 @@ def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("doc_id", F.size("r.applied").alias("rules"), F.char_length("r.text").alias("chars"))
 
 
+def doc_formulas(spark: SparkSession, folder: str) -> DataFrame:
+    """STR-19, STR-20, GRD-08: formula lines of documents parsed; how many have each status and fault."""
+    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[^가-힣ぁ-ん一-鿿.?!]{3,60}=[^가-힣ぁ-ん一-鿿.?!]{1,60}$"))
+    f = lines.groupBy("line").agg(F.count("*").alias("n")).select("n", M.formula_tree_udf("line").alias("f"), X.formula_problem("line").alias("fault"))
+    return f.groupBy(F.col("f.status").alias("status"), "fault").agg(F.count("*").alias("formulas"), F.sum("n").alias("lines"))
+
+
+def doc_formula_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """STR-15, STR-16, STR-18: speech and number of braille cells of each different formula line."""
+    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[a-z0-9_^ +=-]{3,40}$") & F.col("line").contains("=")).distinct()
+    b = lines.select("line", M.formula_speech_udf("line").alias("speech"), M.formula_braille_udf("line").alias("b"))
+    return b.select("line", "speech", F.size("b.cells").alias("cells"), "b.error")
+
+
+def doc_word_braille(spark: SparkSession, folder: str) -> DataFrame:
+    """STR-17, WIN-12: braille of each Hangul word of the corpus and the windows of twelve cells it fills."""
+    words = _docs(spark, folder).select(F.explode(F.split("text", r"[ \n]+")).alias("w")).where(F.col("w").rlike("^[가-힣]+$")).groupBy("w").agg(F.count("*").alias("n"))
+    b = words.select("w", "n", M.hangul_braille_udf("w")["cells"].alias("masks"), X.hangul_parts(F.substring("w", 1, 1))["initial"].alias("initial"))
+    shown = F.transform("masks", lambda c: c.cast("string"))
+    return b.select("w", "n", "initial", F.concat_ws(",", shown).alias("cells"), F.size(sequences.chunks(shown, 12)).alias("windows"))
+
+
+def doc_particles(spark: SparkSession, folder: str) -> DataFrame:
+    """STR-15: Hangul words with the particle they ask for."""
+    words = _docs(spark, folder).select(F.explode(F.split("text", r"[ \n]+")).alias("w")).where(F.col("w").rlike("^[가-힣]+$")).distinct()
+    return words.select("w", X.with_particle("w", "은", "는").alias("topic"))
+
+
 def doc_language_modes(spark: SparkSession, folder: str) -> DataFrame:
     """AGG-16: each book's most frequent label, of equals the one of the first document."""
     return statistics.consensus(_docs(spark, folder).where("book_id is not null"), ["book_id"], "lang", "doc_id")
@@ -289,6 +317,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, left(o, 1) AS label, trim(substr(o
     "doc_viewport": r"""WITH t AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), ' ') AS c FROM documents), o AS (SELECT *, CAST(greatest(0, least(20, ((len(c) - 1) // 20) * 20)) AS INTEGER) AS o FROM t)
 SELECT doc_id, o AS "offset", array_to_string(c[o + 1 : o + 20], ' ') AS shown, CAST(len(c) AS INTEGER) AS total, o > 0 AS has_previous, o + 20 < len(c) AS has_next FROM o""",
     "doc_reuse": "SELECT n.doc_id, min(o.doc_id) AS asset, CASE WHEN min(o.doc_id) IS NULL THEN 'synthesize' ELSE 'keep' END AS action FROM documents n LEFT JOIN documents o ON o.doc_id % 2 = 0 AND coalesce(o.book_id, '') = coalesce(n.book_id, '') AND o.text = n.text WHERE n.doc_id % 2 = 1 GROUP BY 1",
+    "doc_particles": r"SELECT DISTINCT w, w || CASE WHEN (unicode(right(w, 1)) - 44032) % 28 <> 0 THEN '은' ELSE '는' END AS topic FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM documents) WHERE regexp_matches(w, '^[가-힣]+$')",
     "doc_language_modes": "SELECT book_id, lang, c AS votes, CAST(n AS BIGINT) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY book_id) AS n, row_number() OVER (PARTITION BY book_id ORDER BY c DESC, f) AS k FROM (SELECT book_id, lang, count(*) AS c, min(doc_id) AS f FROM documents WHERE book_id IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2)) WHERE k = 1",
     "doc_append": "SELECT book_id, doc_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END, page_no NULLS FIRST, doc_id) - 1 AS INTEGER) AS place FROM documents WHERE book_id IS NOT NULL",
     "order_semi": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY 1",
@@ -320,7 +349,7 @@ SELECT vec_id, round(list_sum(list_transform(range(1, n + 1), lambda k: abs(a[k]
 QUERIES = {
     q.__name__: q
     for q in (
-        doc_quality_report, doc_issue_scores, doc_source_defaults, doc_support, doc_math_scores, doc_token_classes, doc_choices, doc_lines, doc_normalised, doc_page_labels, doc_duplicates, doc_viewport, doc_reuse, doc_terms,
+        doc_quality_report, doc_issue_scores, doc_source_defaults, doc_support, doc_math_scores, doc_token_classes, doc_choices, doc_lines, doc_normalised, doc_page_labels, doc_duplicates, doc_viewport, doc_reuse, doc_terms, doc_formulas, doc_formula_readings, doc_word_braille, doc_particles,
         doc_language_modes, doc_append, item_similarity, item_alignment, order_semi, order_anti, order_references, order_sets, order_status, order_gapless, order_nested_max, order_percentiles, order_wins, order_regressions,
         order_zip, order_anchor, order_type_deltas, order_pricing, order_nations, vector_hashes, vector_matches, vector_cells,
     )
