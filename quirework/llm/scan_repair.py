@@ -178,6 +178,22 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([shape_distance(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def edit_of(w: str, c: str) -> str:
+    """What differs between two words: their middles without the common beginning and end, in whole syllables or letters."""
+    n = 0
+    while n < min(len(w), len(c)) and w[n] == c[n]:
+        n += 1
+    m = 0
+    while m < min(len(w), len(c)) - n and w[-1 - m] == c[-1 - m]:
+        m += 1
+    return f"{w[n : len(w) - m]}>{c[n : len(c) - m]}"
+
+
+@F.pandas_udf(T.StringType())
+def _edit(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_of(x, y) for x, y in zip(a, b)], dtype=object)
+
+
 def lookalike_words(suspects: DataFrame, lexicon: DataFrame, min_count: int, max_distance: float) -> DataFrame:
     """(w, nw, c, nc, distance): for suspect words the lexicon words that the symmetric-delete index proposes and the shape distance accepts."""
     left = suspects.select("w", "n", F.explode(_keys_of("w")).alias("key"))
@@ -193,7 +209,9 @@ class ScanNoise:
     hints: optional (row_id, confidence) of rows whose recognition was uncertain;
     they need less evidence from the neighbouring words.  A word is misread if a
     lexicon word at shape distance max_distance or less is far more frequent
-    (rare_share), or if its neighbours prefer that word by the factor context_odds.
+    (rare_share) and the edit between them is not one by which the language forms
+    words (language_share), or if its neighbours prefer that word by the factor
+    context_odds.
     Texts that look the same count once in the statistics.  Defined results: null
     and empty texts have no noise; ties between repairs go to the smaller distance,
     the more frequent and the alphabetically first word.
@@ -201,7 +219,7 @@ class ScanNoise:
 
     def __init__(
         self, rows: DataFrame, row_id: str, text: str, page: str, hints: DataFrame | None = None, min_count: int = 3, max_distance: float = 0.9, rare_share: float = 0.05,
-        context_odds: float = 100.0, hinted_odds: float = 40.0,
+        language_share: float = 0.25, context_odds: float = 100.0, hinted_odds: float = 40.0,
     ) -> None:
         self.row_id = row_id
         plain = consistent_text(rows.where(F.col(text).isNotNull()), row_id, text).withColumnRenamed(row_id, "__cid")
@@ -217,9 +235,9 @@ class ScanNoise:
         )
         id_type = dict(self.texts.dtypes)["id"]
         self.tokens = cut_lineage(self.cut.mapInPandas(_tokenised, f"id {id_type}, rep boolean, pos int, w string, prev string, next string"))
-        self._judge(hints, min_count, max_distance, rare_share, context_odds, hinted_odds)
+        self._judge(hints, min_count, max_distance, rare_share, language_share, context_odds, hinted_odds)
 
-    def _judge(self, hints, min_count, max_distance, rare_share, context_odds, hinted_odds) -> None:
+    def _judge(self, hints, min_count, max_distance, rare_share, language_share, context_odds, hinted_odds) -> None:
         tokens = self.tokens
         counted = tokens.where("rep")
         lexicon = cut_lineage(counted.where(~F.col("w").contains(BREAK)).groupBy("w").agg(F.count("*").alias("n")))
@@ -229,8 +247,14 @@ class ScanNoise:
         broken = broken.join(known("joined", "nj"), "joined", "left").join(known("hyphened", "nh"), "hyphened", "left").join(known("a", "na"), "a", "left").join(known("b", "nb"), "b", "left").fillna(0, ["nj", "nh", "na", "nb"])
         unseen = broken.select(F.col("joined").alias("w")).union(broken.select("hyphened")).distinct().join(lexicon.select("w"), "w", "left_anti").withColumn("n", F.lit(0).cast("long"))
         pairs = cut_lineage(lookalike_words(lexicon.unionByName(unseen), lexicon, min_count, max_distance))
+        # An edit that links many pairs of words of like frequency is part of the language (an ending, say), not a misreading.
+        rare_pair = (F.col("nc") >= 4 * F.col("nw")) & (F.col("nw") <= F.greatest(F.lit(2), rare_share * F.col("nc")))
+        edits = pairs.withColumn("edit", _edit("w", "c")).withColumn("rare", rare_pair)
+        both_live = edits.where("nw >= 2 and nc < 4 * nw").groupBy("edit").agg(F.count("*").alias("live"))
+        lone = edits.where("rare").groupBy("edit").agg(F.count("*").alias("lone"))
+        language = both_live.join(lone, "edit", "left").where(f"live >= 2 and live >= {language_share} * coalesce(lone, 0)").select("edit")
         # Rare words: a frequent look-alike settles it.
-        rare = pairs.where((F.col("nc") >= 4 * F.col("nw")) & (F.col("nw") <= F.greatest(F.lit(2), rare_share * F.col("nc"))))
+        rare = edits.where("rare").join(language, "edit", "left_anti")
         best = F.max(F.struct((-F.col("distance")).alias("d"), "nc", F.col("c"))).getField("c")
         self.repairs = cut_lineage(rare.groupBy("w").agg(best.alias("c")))
         fixed = self.repairs.select(F.col("w").alias("__w"), F.col("c").alias("__c"))
