@@ -210,7 +210,7 @@ class ScanNoise:
     they need less evidence from the neighbouring words.  A word is misread if a
     lexicon word at shape distance max_distance or less is far more frequent
     (rare_share) and the edit between them is not one by which the language forms
-    words (language_share), or if its neighbours prefer that word by the factor
+    words (language_share) or its word is certain_ratio times as frequent, or if its neighbours prefer that word by the factor
     context_odds.
     Texts that look the same count once in the statistics.  Defined results: null
     and empty texts have no noise; ties between repairs go to the smaller distance,
@@ -219,7 +219,7 @@ class ScanNoise:
 
     def __init__(
         self, rows: DataFrame, row_id: str, text: str, page: str, hints: DataFrame | None = None, min_count: int = 3, max_distance: float = 0.9, rare_share: float = 0.05,
-        language_share: float = 0.25, context_odds: float = 100.0, hinted_odds: float = 40.0,
+        language_share: float = 0.25, certain_ratio: float = 100.0, context_odds: float = 100.0, hinted_odds: float = 40.0,
     ) -> None:
         self.row_id = row_id
         plain = consistent_text(rows.where(F.col(text).isNotNull()), row_id, text).withColumnRenamed(row_id, "__cid")
@@ -235,9 +235,9 @@ class ScanNoise:
         )
         id_type = dict(self.texts.dtypes)["id"]
         self.tokens = cut_lineage(self.cut.mapInPandas(_tokenised, f"id {id_type}, rep boolean, pos int, w string, prev string, next string"))
-        self._judge(hints, min_count, max_distance, rare_share, language_share, context_odds, hinted_odds)
+        self._judge(hints, min_count, max_distance, rare_share, language_share, certain_ratio, context_odds, hinted_odds)
 
-    def _judge(self, hints, min_count, max_distance, rare_share, language_share, context_odds, hinted_odds) -> None:
+    def _judge(self, hints, min_count, max_distance, rare_share, language_share, certain_ratio, context_odds, hinted_odds) -> None:
         tokens = self.tokens
         counted = tokens.where("rep")
         lexicon = cut_lineage(counted.where(~F.col("w").contains(BREAK)).groupBy("w").agg(F.count("*").alias("n")))
@@ -254,7 +254,8 @@ class ScanNoise:
         lone = edits.where("rare").groupBy("edit").agg(F.count("*").alias("lone"))
         language = both_live.join(lone, "edit", "left").where(f"live >= 2 and live >= {language_share} * coalesce(lone, 0)").select("edit")
         # Rare words: a frequent look-alike settles it.
-        rare = edits.where("rare").join(language, "edit", "left_anti")
+        lawful = language.withColumn("__l", F.lit(True))
+        rare = edits.where("rare").join(lawful, "edit", "left").where(F.col("__l").isNull() | (F.col("nc") >= certain_ratio * F.col("nw")))
         best = F.max(F.struct((-F.col("distance")).alias("d"), "nc", F.col("c"))).getField("c")
         self.repairs = cut_lineage(rare.groupBy("w").agg(best.alias("c")))
         fixed = self.repairs.select(F.col("w").alias("__w"), F.col("c").alias("__c"))
