@@ -85,17 +85,15 @@ def shape_distance(a: str, b: str, pair_cost: float = 0.4) -> float:
     return d[len(a)][len(b)]
 
 
-_BROKEN = re.compile(r"[^\W\d_][-¬]$")
+_BROKEN = re.compile(r"[^\W\d_]\S*(?<=[\w!])[-¬]$|^[^\W\d_][-¬]$")
 
 
 def core_word(raw: str) -> tuple[str, str, str]:
-    """(before, core, after) of a token: outer punctuation off, and a number that a Hangul word is joined to."""
+    """(before, core, after) of a token: outer punctuation off, and a number that a Hangul word is joined to.  A "!" stays: it may stand for a letter."""
     core = raw.strip(_OUTER)
     head = re.match(r"[\d.,:~/()\-]+(?=[가-힣])", core)
     if head:
         core = core[head.end() :]
-    if core.endswith("!") and core[:-1].isalpha() and len(core) > 3 and raw.endswith("!"):
-        core = core[:-1]
     at = raw.find(core) if core else len(raw)
     return raw[:at], core, raw[at + len(core) :]
 
