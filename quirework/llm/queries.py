@@ -86,8 +86,9 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
-    models = languages.fitted(table(spark, folder, "lang_samples"))
-    return languages.segment_languages(table(spark, folder, "documents"), models, label="lang")
+    samples, documents = table(spark, folder, "lang_samples"), table(spark, folder, "documents")
+    models = languages.adapted(languages.fitted(samples), samples, documents)
+    return languages.segment_languages(documents, models, label="lang")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
