@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quirework.llm.words import plain_words
+from quirework.llm.words import plain_words, slices
 
 #: Odd 64-bit multipliers of the hash functions (fixed values, any odd constants would do).
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -68,7 +68,7 @@ def _windows(id_type: str, min_words: int, rows: int, wanted=None):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = None if wanted is None else wanted.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch["id"].to_numpy(), [plain_words(t) for t in batch["text"]]
             owner, place, sig = window_signatures(texts, min_words, rows)
             if keep is not None and len(sig):

@@ -157,13 +157,20 @@ def page_lines(texts: DataFrame, min_support: int = 1) -> DataFrame:
     return numbers.unionByName(heads)
 
 
-def _tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tokenised(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Token rows, handed on whenever there are enough, so that long texts do not pile up."""
+    names, out = ["id", "rep", "pos", "w", "prev", "next"], []
     for batch in batches:
-        out = []
         for i, rep, text, dropped in zip(batch["id"], batch["rep"], batch["canonical_text"], batch["dropped"]):
             keys = [token_key(*t) for t in reading_tokens(text, set(dropped) if dropped is not None else set())]
-            out += [(i, rep, n, k, keys[n - 1] if n else "^", keys[n + 1] if n + 1 < len(keys) else "$") for n, k in enumerate(keys) if k != "#"]
-        yield pd.DataFrame(out, columns=["id", "rep", "pos", "w", "prev", "next"])
+            for n, k in enumerate(keys):
+                if k != "#":
+                    out.append((i, rep, n, k, keys[n - 1] if n else "^", keys[n + 1] if n + 1 < len(keys) else "$"))
+                if len(out) >= rows:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
+
 
 def char_class(categories: tuple[str, ...]) -> str:
     """The inside of a regular-expression class with every character of the given general categories."""
@@ -46,3 +49,15 @@ def plain_words(text: str | None) -> list[str]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
     return word_pattern().findall(text.casefold())
+
+
+def slices(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Batches cut so that each holds about `chars` characters of text (or one longer text): what is made of a slice stays small whatever the texts' length."""
+    for batch in batches:
+        size = batch[column].str.len().fillna(0).cumsum()
+        part = (size // chars).astype("int64")
+        if len(batch) and part.iloc[-1] == 0:
+            yield batch
+            continue
+        for _, piece in batch.groupby(part.to_numpy(), sort=True):
+            yield piece.reset_index(drop=True)
