@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirework.functions import text as X, values as V
-from quirework.operators import compare, nested, pages, sequences
+from quirework.operators import compare, layout, nested, pages, sequences
 from quirework.plans.problems import _REPORT_NODES, _box
 from quirework.session import table
 
@@ -195,6 +195,39 @@ def page_validation(spark: SparkSession, folder: str) -> DataFrame:
     return pages.validation_counters(n, order, KEYS)
 
 
+def page_block_order(spark: SparkSession, folder: str) -> DataFrame:
+    """SRT-02: nodes ordered as blocks, the topmost tenth as header and the lowest as footer."""
+    n = nodes(spark, folder).where(pages.HAS_BOX)
+    label = F.when(F.expr("y < 0.1 * page_h"), "header").when(F.expr("y > 0.9 * page_h"), "footer").otherwise("text")
+    b = n.select(*KEYS, F.col("node_id").alias("id"), label.alias("label"), "y", "ord", F.when(F.col("ord") % 3 != 0, F.col("ord")).alias("block_order"), F.coalesce("ord", F.lit(0)).alias("seq"))
+    return layout.block_order(b, KEYS).select(*KEYS, "id", "place")
+
+
+def page_promotions(spark: SparkSession, folder: str) -> DataFrame:
+    """SRT-08, GRD-05: regions in the order of the first node they contain."""
+    n = nodes(spark, folder)
+    texts = n.where(pages.HAS_BOX).select(*KEYS, F.col("node_id").alias("id"), F.coalesce("ord", F.lit(0)).alias("ord"), "x", "y", "w", "h")
+    return layout.promotion_order(_regions(n), texts, KEYS)
+
+
+def page_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """GRD-04: pieces of nodes that lie across two or more regions."""
+    n = nodes(spark, folder)
+    return layout.split_at_barriers(_parts(n), _regions(n), KEYS, 0.05)
+
+
+def page_gap_text(spark: SparkSession, folder: str) -> DataFrame:
+    """STR-12: a page's node ids from left to right, with blanks where the gap is wide."""
+    n = nodes(spark, folder).select(*KEYS, F.col("node_id").alias("id"), F.col("node_id").alias("text"), "x", "w", "h")
+    return layout.gap_joined(n, KEYS)
+
+
+def candidate_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """AGG-27: what the recognised replacements of each page still need."""
+    r = layout.replacement_review(table(spark, folder, "paddleocr_split_ocr_reconciliation_summary_p102"), ["scan_session_id", "page_id"], "status", "source_text_node_id")
+    return r.withColumn("open_nodes", F.concat_ws(",", "open_nodes"))
+
+
 _BEST = """
 met AS (
   SELECT a.doc, a.page, a.node_id AS part_id, b.node_id AS region_id, b.w * b.h AS size, a.x AS ax,
@@ -274,6 +307,17 @@ SELECT doc, page, CAST(scope AS BIGINT) AS scope, count(*) AS n, min(node_id) AS
     "page_comparison": f"WITH {_COMPARISON} SELECT * FROM comparison",
     "page_recommendation": f"""WITH {_COMPARISON}, v AS (SELECT count(*) FILTER (verdict = 'CANDIDATE_PREFERRED') AS candidate, count(*) FILTER (verdict = 'BASELINE_PREFERRED') AS baseline, count(*) FILTER (verdict = 'REVIEW') AS review, count(*) FILTER (verdict = 'TIE_OR_REVIEW') AS tie FROM comparison)
 SELECT *, CASE WHEN candidate > baseline AND review + tie <= candidate THEN 'CANDIDATE_CAN_ADVANCE_TO_OVERLAY_REVIEW' WHEN baseline > candidate THEN 'KEEP_BASELINE_PENDING_ENGINE_TUNING' ELSE 'REVIEW_REQUIRED_BEFORE_DEFAULT_SWITCH' END AS recommendation FROM v""",
+    "page_block_order": f"""WITH {_NODES}, b AS (SELECT *, CASE WHEN y < 0.1 * page_h THEN 0 WHEN y > 0.9 * page_h THEN 3 WHEN ord % 3 <> 0 THEN 1 ELSE 2 END AS rank FROM nodes WHERE boxed)
+SELECT doc, page, node_id AS id, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY rank, CASE WHEN rank IN (0, 3) THEN y WHEN rank = 1 THEN ord ELSE coalesce(ord, 0) END, coalesce(ord, 0), node_id) - 1 AS INTEGER) AS place FROM b""",
+    "page_promotions": f"""WITH {_NODES}, {_BEST}, f AS (SELECT m.doc, m.page, m.region_id, min(coalesce(n.ord, 0)) AS o FROM met m JOIN nodes n ON n.doc = m.doc AND n.page = m.page AND n.node_id = m.part_id WHERE r >= 0.55 AND part_id <> region_id GROUP BY 1, 2, 3)
+SELECT n.doc, n.page, n.node_id AS region_id, CAST(row_number() OVER (PARTITION BY n.doc, n.page ORDER BY f.o IS NULL, f.o, n.y, n.x, n.node_id) - 1 AS INTEGER) AS place FROM nodes n LEFT JOIN f ON f.doc = n.doc AND f.page = n.page AND f.region_id = n.node_id WHERE n.boxed AND n.w > 500""",
+    "page_splits": f"""WITH {_NODES}, {_BEST}, m AS (SELECT *, count(*) OVER (PARTITION BY doc, page, part_id) AS k FROM met WHERE r >= 0.05 AND part_id <> region_id)
+SELECT m.doc, m.page, m.part_id, m.region_id AS barrier_id, greatest(a.x, b.x - 40) AS x, greatest(a.y, b.y - 40) AS y, least(a.x + a.w, b.x + b.w + 40) - greatest(a.x, b.x - 40) AS w, least(a.y + a.h, b.y + b.h + 40) - greatest(a.y, b.y - 40) AS h
+FROM m JOIN nodes a ON a.doc = m.doc AND a.page = m.page AND a.node_id = m.part_id JOIN nodes b ON b.doc = m.doc AND b.page = m.page AND b.node_id = m.region_id WHERE k > 1""",
+    "page_gap_text": f"""WITH {_NODES}, g AS (SELECT *, median(h) OVER (PARTITION BY doc, page) AS m, x - lag(x + w) OVER (PARTITION BY doc, page ORDER BY x, node_id) AS gap FROM nodes WHERE x IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL)
+SELECT doc, page, string_agg(CASE WHEN gap > 0.45 * m THEN ' ' ELSE '' END || node_id, '' ORDER BY x, node_id) AS text FROM g GROUP BY 1, 2""",
+    "candidate_reviews": """SELECT scan_session_id, page_id, count(*) AS candidates, count(*) FILTER (status = 'REVIEW_REPLACE_CANDIDATE') AS accepted, count(*) FILTER (status IS DISTINCT FROM 'REVIEW_REPLACE_CANDIDATE') AS "open",
+  coalesce(array_to_string(list_sort(list_distinct(list(source_text_node_id) FILTER (status IS DISTINCT FROM 'REVIEW_REPLACE_CANDIDATE'))), ','), '') AS open_nodes FROM paddleocr_split_ocr_reconciliation_summary_p102 GROUP BY 1, 2""",
     "page_validation": f"""WITH {_NODES}, o AS (SELECT doc, page, node_id, row_number() OVER (PARTITION BY doc, page ORDER BY coalesce(ord, 0), node_id) - 1 AS position FROM nodes WHERE boxed),
 v AS (SELECT n.doc, n.page, count(*) AS nodes, CAST(0 AS BIGINT) AS duplicate_ids, CAST(0 AS BIGINT) AS order_duplicates, count(*) FILTER (o.node_id IS NULL) AS missing_in_order, CAST(0 AS BIGINT) AS dangling, count(*) FILTER (ord <> position) AS index_mismatch
       FROM nodes n LEFT JOIN o USING (doc, page, node_id) GROUP BY 1, 2)
@@ -284,6 +328,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         page_node_flags, page_order_warnings, page_overlaps, page_quality, report_totals, page_priorities, page_lowest, page_columns, page_column_order, page_guides, page_union_boxes, page_scaled_boxes, page_containers,
-        page_barriers, page_regions_inside, page_captions, page_scopes, page_comparison, page_recommendation, page_lines, page_blocks, page_validation,
+        page_barriers, page_regions_inside, page_captions, page_scopes, page_comparison, page_recommendation, page_lines, page_blocks, page_validation, page_block_order, page_promotions, page_splits, page_gap_text, candidate_reviews,
     )
 }

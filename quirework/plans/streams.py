@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quirework.functions import values as V
-from quirework.operators import delivery, sequences, statistics
+from quirework.operators import delivery, layout, sequences, statistics
 from quirework.session import table
 from quirework.streaming import frames
 
@@ -372,6 +372,13 @@ def spread_revisions(spark: SparkSession, folder: str) -> DataFrame:
     return s.join(o, ["scan_session_id", "sequence"])
 
 
+def spread_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """SRT-06, SRT-09: the 32 sessions changed last, newest first, with a clamped index."""
+    s = table(spark, folder, "scan_spreads").groupBy("scan_session_id").agg(F.max("updated_at").alias("updated_at"), F.count_distinct("sequence").alias("spreads"))
+    top = s.orderBy(F.desc("updated_at"), "scan_session_id").limit(32)
+    return top.withColumn("selected", layout.clamped(F.lit(40), F.col("spreads")).cast("int"))
+
+
 _S = "PARTITION BY user_id ORDER BY ts, event_id"
 _LABELS = "labels AS (SELECT recording_id, frame_index, arg_min(lower(regexp_replace(label, '[^A-Za-z]', '', 'g')), anchor_id) AS kind FROM scanner_video_v3a2_temporal_labels GROUP BY 1, 2)"
 _ISLES = f"isles AS (SELECT *, sum(c) OVER ({_S}) AS island FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER ({_S}) THEN 0 ELSE 1 END AS c FROM events))"
@@ -443,6 +450,7 @@ SELECT event_id, 0.0::DOUBLE AS pulse_ms FROM h UNION ALL SELECT event_id, CAST(
 JOIN (SELECT scan_session_id, count(DISTINCT outbox_id) AS messages FROM delivery_outbox GROUP BY 1) USING (scan_session_id) ORDER BY rank, received_at, scan_session_id, sequence, artifact_id LIMIT 20""",
     "spread_nested": "SELECT p.scan_session_id, CAST(count(s.scan_session_id) AS INTEGER) AS n, arg_min(s.artifact_id, (s.sequence, s.artifact_id)) AS first_artifact FROM (SELECT DISTINCT scan_session_id FROM delivery_outbox) p LEFT JOIN scan_spreads s USING (scan_session_id) GROUP BY 1",
     "spread_orphans": "SELECT DISTINCT receipt_id, artifact_id, status FROM scan_spreads s WHERE received_at <= TIMESTAMP '2026-07-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM delivery_outbox o WHERE o.status = 'acked' AND o.receipt_id = s.receipt_id)",
+    "spread_catalog": "SELECT scan_session_id, updated_at, spreads, CAST(greatest(0, least(40, spreads - 1)) AS INTEGER) AS selected FROM (SELECT scan_session_id, max(updated_at) AS updated_at, count(DISTINCT sequence) AS spreads FROM scan_spreads GROUP BY 1) ORDER BY updated_at DESC, scan_session_id LIMIT 32",
     "spread_revisions": "SELECT * FROM (SELECT scan_session_id, sequence, max(updated_at) AS updated_at FROM scan_spreads GROUP BY 1, 2) JOIN (SELECT scan_session_id, sequence, max(attempt_count) AS attempts FROM delivery_outbox GROUP BY 1, 2) USING (scan_session_id, sequence)",
 }
 
@@ -452,7 +460,7 @@ QUERIES = {
         event_scopes, event_runs, event_token_runs, event_changes, event_stability, event_pair_stability, event_best, event_ring, event_window_drops, event_neighbours, event_transitions, event_only_changes, event_holds,
         event_decisions, event_props, event_presence, event_hours, event_report, event_autocorrelation, event_effective_size, event_bootstrap, event_consensus, event_wilson, event_thresholds, event_indicators,
         event_percentiles, event_cadence, event_pulses, label_grid, label_consensus, label_transitions, outbox_last_state, outbox_conflicts, outbox_replays, outbox_gapless, outbox_cutoff, outbox_flush, outbox_retries,
-        outbox_leases, outbox_bytes, outbox_counts, outbox_digests, outbox_canonical, spread_counts, spread_rollup, spread_queue, spread_nested, spread_orphans, spread_revisions,
+        outbox_leases, outbox_bytes, outbox_counts, outbox_digests, outbox_canonical, spread_counts, spread_rollup, spread_queue, spread_nested, spread_orphans, spread_revisions, spread_catalog,
         frame_page_changes, frame_verdicts, frame_checks, frame_guidance, frame_ledger, frame_pulses, frame_fused_changes, outbox_heartbeats,
     )
 }
