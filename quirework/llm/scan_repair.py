@@ -178,11 +178,6 @@ def _keys_of(words: pd.Series) -> pd.Series:
     return words.map(delete_keys)
 
 
-@F.pandas_udf(T.DoubleType())
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([shape_distance(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
 def edit_of(w: str, c: str) -> str:
     """What differs between two words: their middles without the common beginning and end, in whole syllables or letters."""
     n = 0
@@ -194,17 +189,18 @@ def edit_of(w: str, c: str) -> str:
     return f"{w[n : len(w) - m]}>{c[n : len(c) - m]}"
 
 
-@F.pandas_udf(T.StringType())
-def _edit(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_of(x, y) for x, y in zip(a, b)], dtype=object)
+@F.pandas_udf(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("edit", T.StringType())]))
+def _judged(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Distance and edit of two words together: one Python worker a task does for both."""
+    return pd.DataFrame({"distance": pd.Series([shape_distance(x, y) for x, y in zip(a, b)], dtype="float64"), "edit": pd.Series([edit_of(x, y) for x, y in zip(a, b)], dtype=object)})
 
 
 def lookalike_words(suspects: DataFrame, lexicon: DataFrame, min_count: int, max_distance: float) -> DataFrame:
-    """(w, nw, c, nc, distance): for suspect words the lexicon words that the symmetric-delete index proposes and the shape distance accepts."""
+    """(w, nw, c, nc, distance, edit): for suspect words the lexicon words that the symmetric-delete index proposes and the shape distance accepts."""
     left = suspects.select("w", "n", F.explode(_keys_of("w")).alias("key"))
     right = lexicon.where(F.col("n") >= min_count).select(F.col("w").alias("c"), F.col("n").alias("nc"), F.explode(_keys_of("w")).alias("key"))
     pairs = left.join(right, "key").where("w <> c and nc >= 0.2 * n").select("w", F.col("n").alias("nw"), "c", "nc").distinct()
-    return pairs.withColumn("distance", _distance("w", "c")).where(F.col("distance") <= max_distance)
+    return pairs.withColumn("j", _judged("w", "c")).select("w", "nw", "c", "nc", "j.distance", "j.edit").where(F.col("distance") <= max_distance)
 
 
 class ScanNoise:
@@ -254,7 +250,7 @@ class ScanNoise:
         pairs = cut_lineage(lookalike_words(lexicon.unionByName(unseen), lexicon, min_count, max_distance))
         # An edit that links many pairs of words of like frequency is part of the language (an ending, say), not a misreading.
         rare_pair = (F.col("nc") >= 4 * F.col("nw")) & (F.col("nw") <= F.greatest(F.lit(2), rare_share * F.col("nc")))
-        edits = pairs.withColumn("edit", _edit("w", "c")).withColumn("rare", rare_pair)
+        edits = pairs.withColumn("rare", rare_pair)
         both_live = edits.where("nw >= 2 and nc < 4 * nw").groupBy("edit").agg(F.count("*").alias("live"))
         lone = edits.where("rare").groupBy("edit").agg(F.count("*").alias("lone"))
         language = both_live.join(lone, "edit", "left").where(f"live >= 2 and live >= {language_share} * coalesce(lone, 0)").select("edit")
