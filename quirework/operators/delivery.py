@@ -12,13 +12,13 @@ def idempotency_conflicts(rows: DataFrame, key: list[str], digest: str) -> DataF
 
 
 def replay_outcomes(rows: DataFrame, keys: list[str], arrival: list[str], sequence: str, digest: str) -> DataFrame:
-    """Rows with outcome against the highest sequence that arrived before: accepted, stale, replay, or collision."""
-    w = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("__top", F.max(sequence).over(w))
-    held = F.max_by(digest, sequence).over(w)
-    return marked.withColumn("__held", held).withColumn(
-        "outcome", F.when(F.col("__top").isNull() | (F.col(sequence) > F.col("__top")), "accepted").when(F.col(sequence) < F.col("__top"), "stale").when(F.col(digest).eqNullSafe(F.col("__held")), "replay").otherwise("collision")
-    ).drop("__top", "__held")
+    """Rows with outcome against the highest sequence that arrived before: accepted, stale, replay, or collision with what came first at that sequence."""
+    order = Window.partitionBy(*keys).orderBy(*arrival)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max(F.struct(F.col(sequence).alias("s"), (-F.col("__n")).alias("n"), F.col(digest).alias("d"))).over(before)
+    marked = rows.withColumn("__n", F.row_number().over(order)).withColumn("__top", top)
+    outcome = F.when(F.col("__top").isNull() | (F.col(sequence) > F.col("__top.s")), "accepted").when(F.col(sequence) < F.col("__top.s"), "stale").when(F.col(digest).eqNullSafe(F.col("__top.d")), "replay").otherwise("collision")
+    return marked.withColumn("outcome", outcome).drop("__n", "__top")
 
 
 def within_cutoff(rows: DataFrame, cutoffs: DataFrame, keys: list[str], sequence: str, cutoff: str) -> DataFrame:

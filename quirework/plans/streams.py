@@ -387,6 +387,13 @@ l AS (SELECT d.*, k.lag, lead(d, CAST(k.lag AS INTEGER)) OVER (PARTITION BY user
 rho AS (SELECT user_id, CAST(lag AS INTEGER) AS lag, max(n) AS n, CASE WHEN sum(d * d) <= 1e-12 THEN 1.0 ELSE greatest(-1.0, least(1.0, coalesce(sum(d * e), 0) / sum(d * d))) END AS rho FROM l WHERE lag < n GROUP BY 1, 2)"""
 _Z = statistics.Z95
 
+
+def _replays(arrival: str) -> str:
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY scan_session_id ORDER BY {arrival}) AS k FROM delivery_outbox),
+t AS (SELECT *, max(sequence) OVER w AS top, arg_max(upload_digest, sequence * CAST(1000000000 AS HUGEINT) - k) OVER w AS held FROM n WINDOW w AS (PARTITION BY scan_session_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+outcomes AS (SELECT *, CASE WHEN top IS NULL OR sequence > top THEN 'accepted' WHEN sequence < top THEN 'stale' WHEN upload_digest IS NOT DISTINCT FROM held THEN 'replay' ELSE 'collision' END AS outcome FROM t)"""
+
+
 SQL = {
     "event_scopes": f"SELECT user_id, scope, count(*) AS n, round(sum(value), 4) AS value, min(ts) AS first_ts FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER ({_S}) AS BIGINT) AS scope FROM events) GROUP BY 1, 2",
     "event_runs": f"WITH {_ISLES} SELECT user_id, CAST(island AS BIGINT) AS island, min(event_type) AS event_type, count(*) AS n, min(ts) AS first_time, max(ts) AS last_time FROM isles GROUP BY 1, 2",
@@ -435,6 +442,11 @@ SELECT event_id, 0.0::DOUBLE AS pulse_ms FROM h UNION ALL SELECT event_id, CAST(
     "label_consensus": f"WITH {_LABELS} SELECT recording_id, kind, c AS votes, CAST(n AS BIGINT) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY recording_id) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY c DESC, f) AS k FROM (SELECT recording_id, kind, count(*) AS c, min(frame_index) AS f FROM labels GROUP BY 1, 2)) WHERE k = 1",
     "label_transitions": f"WITH {_LABELS} SELECT p AS from_state, kind AS to_state, count(*) AS n FROM (SELECT *, lag(kind) OVER (PARTITION BY recording_id ORDER BY frame_index) AS p FROM labels) WHERE p IS NOT NULL GROUP BY 1, 2",
     "outbox_last_state": "SELECT outbox_id, status, updated_at, events FROM (SELECT *, count(*) OVER (PARTITION BY outbox_id) AS events, row_number() OVER (PARTITION BY outbox_id ORDER BY updated_at DESC NULLS LAST, delivery_row_id DESC) AS k FROM delivery_outbox) WHERE k = 1",
+    "outbox_replays": f"WITH {_replays('delivered_at, delivery_row_id')} SELECT delivery_row_id, outcome FROM outcomes",
+    "outbox_heartbeats": f"WITH {_replays('epoch_us(delivered_at) * 1000 + delivery_row_id % 1000')} SELECT scan_session_id, outcome, count(*) AS n FROM outcomes GROUP BY 1, 2",
+    "event_cadence": """WITH RECURSIVE a AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+  UNION ALL SELECT e.user_id, min(e.ts) FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 1 DAY GROUP BY e.user_id)
+SELECT a.user_id, min(event_id) AS event_id FROM a JOIN events e ON e.user_id = a.user_id AND e.ts = a.ts GROUP BY a.user_id, a.ts""",
     "outbox_conflicts": "SELECT *, CASE WHEN digests > 1 THEN 'CONFLICT' WHEN deliveries > 1 THEN 'REPLAY' ELSE 'FIRST' END AS outcome FROM (SELECT scan_session_id, idempotency_key, count(*) AS deliveries, count(DISTINCT upload_digest) AS digests FROM delivery_outbox WHERE idempotency_key IS NOT NULL GROUP BY 1, 2)",
     "outbox_gapless": "SELECT scan_session_id, count(DISTINCT sequence) AS n, min(sequence) AS \"first\", max(sequence) AS \"last\", min(sequence) = 1 AND count(DISTINCT sequence) = max(sequence) AS complete FROM delivery_outbox GROUP BY 1",
     "outbox_cutoff": "SELECT o.scan_session_id, count(*) FILTER (through IS NULL OR sequence <= through) AS accepted, count(*) FILTER (NOT (through IS NULL OR sequence <= through)) AS late FROM delivery_outbox o LEFT JOIN (SELECT scan_session_id, max(sequence) AS through FROM scan_spreads GROUP BY 1) c USING (scan_session_id) GROUP BY 1",
