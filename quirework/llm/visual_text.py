@@ -30,8 +30,9 @@ LOOKALIKES = [
 #: Compatibility forms that look like their plain characters; circled, super- and subscript forms do not.
 LIKE_PLAIN = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 SOFT_HYPHEN = "\u00ad"
-#: Texts of these characters only are their own consistent form (a test holds this against the tables).
-_STABLE = r"^[\x20-\x7e\n\x{ac00}-\x{d7a3}\x{2460}-\x{2473}\u00b2\u00b7\u2014\u2019\u00ab\u00bb\u00ac\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
+#: Characters that are their own consistent form (a test holds this against the tables), as the inside of a Java class.
+_OWN = r"\x20-\x7e\n\x{ac00}-\x{d7a3}\x{2460}-\x{2473}\u00b2\u00b7\u2014\u2019\u00ab\u00bb\u00ac\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_STABLE = f"^[{_OWN}]*\\z"
 
 
 @lru_cache(1)
@@ -96,11 +97,28 @@ def composite_rows() -> list[tuple[str, str]]:
         if 0xAC00 <= ord(ch) <= 0xD7A3:
             continue
         parts = unicodedata.normalize("NFD", ch)
-        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch and all(parts_of(p) == (p,) for p in parts):
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch and all(parts_of(p) == (p,) for p in parts) and all(map(mark_class, parts[1:])):
             rows[parts] = ch
     return sorted(rows.items())
 
 
+@lru_cache(1)
+def _piece() -> str:
+    """Pattern of a text's pieces: runs of characters that stay as they are, and single clusters.
+
+    What follows a character in its cluster are marks and invisible characters.
+    """
+    spans: list[list[int]] = []
+    for ch in _assigned():
+        if not 0xAC00 <= ord(ch) <= 0xD7A3 and (parts_of(ch) == () or mark_class(parts_of(ch)[0])):
+            if spans and spans[-1][1] == ord(ch) - 1:
+                spans[-1][1] += 1
+            else:
+                spans.append([ord(ch), ord(ch)])
+    following = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+    return f"[{_OWN}]+(?![{following}])|(?s:.)[{following}]*"
+
+
 def canonical(text: str | None) -> str | None:
     """The consistent form of one text; the operator's rule for a single value, used for tests and by callers that hold text in Python."""
     if text is None:
@@ -112,7 +130,7 @@ def canonical(text: str | None) -> str | None:
                 clusters[-1].append(p)
             else:
                 clusters.append([p])
-    return "".join(_compose("".join(sorted(c[:1]) + sorted(c[1:], key=mark_class))) for c in clusters)
+    return "".join(_compose("".join(sorted(c, key=mark_class))) for c in clusters)
 
 
 def _line_end_hyphens(text: str) -> str:
@@ -179,29 +197,29 @@ def consistent_text(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     characters gives empty; texts may have any length; row ids must be unique.
 
     Texts of stable characters only are their own result.  The others are placed by
-    row id once; exploding, both joins, the cluster window and both rebuilds then
-    stay within their partition: characters are never shuffled.
+    row id once and cut into clusters and runs of stable characters.  Exploding to
+    code points, both joins and both rebuilds then stay within their partition:
+    characters are never shuffled.
     """
     spark = rows.sparkSession
     slim = rows.select(F.col(row_id).alias("__id"), F.col(text).alias("__t"))
     stable = F.coalesce(F.col("__t").rlike(_STABLE), F.lit(True))
     plain = slim.where(stable).select(F.col("__id").alias(row_id), F.col("__t").alias("canonical_text"))
     work = slim.where(~stable).repartition("__id")
-    points = work.select("__id", F.posexplode(F.split(F.regexp_replace("__t", f"{SOFT_HYPHEN}\n", "-\n"), "")).alias("__pos", "__c"))
+    shown = F.regexp_replace("__t", f"{SOFT_HYPHEN}\n", "-\n")
+    pieces = work.select("__id", F.posexplode(F.regexp_extract_all(shown, F.lit(_piece()), F.lit(0))).alias("__no", "__piece"))
+    points = pieces.select("__id", "__no", F.posexplode(F.when(F.col("__piece").rlike(_STABLE), F.array("__piece")).otherwise(F.split("__piece", ""))).alias("__pos", "__c"))
     mapped = points.join(F.broadcast(character_table(spark)), F.col("__c") == F.col("__ch"), "left")
     own = F.array(F.struct(F.col("__c").alias("p"), F.lit(0).alias("cls")))
     # An invisible character keeps an empty part, so that a text of nothing else still has a row.
-    parts = F.when(F.size("__parts") == 0, F.array(F.struct(F.lit("").alias("p"), F.lit(-1).alias("cls")))).otherwise(F.coalesce("__parts", own))
-    single = mapped.select("__id", "__pos", F.posexplode(parts).alias("__sub", "__part")).select("__id", "__pos", "__sub", "__part.p", "__part.cls")
-    numbered = single.selectExpr(
-        "__id", "__pos", "__sub", "p", "cls",
-        "sum(case when cls = 0 then 1 else 0 end) over (partition by __id order by __pos, __sub rows between unbounded preceding and current row) as __cluster_no",
-    )
-    clusters = numbered.groupBy("__id", "__cluster_no").agg(F.sort_array(F.collect_list(F.struct(F.greatest("cls", F.lit(0)).alias("k"), "__pos", "__sub", "p"))).alias("__m"))
-    joined = clusters.select("__id", "__cluster_no", F.when(F.size("__m") == 1, F.col("__m")[0]["p"]).otherwise(F.concat_ws("", F.col("__m.p"))).alias("__s"))
+    parts = F.when(F.size("__parts") == 0, F.array(F.struct(F.lit("").alias("p"), F.lit(0).alias("cls")))).otherwise(F.coalesce("__parts", own))
+    single = mapped.select("__id", "__no", "__pos", F.posexplode(parts).alias("__sub", "__part")).select("__id", "__no", "__pos", "__sub", "__part.p", "__part.cls")
+    clusters = single.groupBy("__id", "__no").agg(F.sort_array(F.collect_list(F.struct("cls", "__pos", "__sub", "p"))).alias("__m"))
+    joined = clusters.select("__id", "__no", F.when(F.size("__m") == 1, F.col("__m")[0]["p"]).otherwise(F.concat_ws("", F.col("__m.p"))).alias("__s"))
     composed = joined.join(F.broadcast(composite_table(spark)), F.col("__s") == F.col("__cluster"), "left")
-    pieces = composed.select("__id", "__cluster_no", F.coalesce("__composed", F.when(F.char_length("__s") > 1, _hangul(F.col("__s"))).otherwise(F.col("__s"))).alias("__s"))
-    rebuilt = pieces.groupBy("__id").agg(F.concat_ws("", F.sort_array(F.collect_list(F.struct("__cluster_no", "__s")))["__s"]).alias("canonical_text"))
+    short = F.char_length("__s").between(2, 8) & ~F.col("__s").rlike(_STABLE)
+    done = composed.select("__id", "__no", F.coalesce("__composed", F.when(short, _hangul(F.col("__s"))).otherwise(F.col("__s"))).alias("__s"))
+    rebuilt = done.groupBy("__id").agg(F.concat_ws("", F.sort_array(F.collect_list(F.struct("__no", "__s")))["__s"]).alias("canonical_text"))
     return plain.unionByName(rebuilt.select(F.col("__id").alias(row_id), "canonical_text"))
 
 
