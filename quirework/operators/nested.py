@@ -58,6 +58,7 @@ def label_nodes(root, steps: list[tuple[str, ...]], start: int = 0) -> tuple[lis
     or -1.  post-order numbers follow the same counter base as the pre-order ones.
     """
     wanted = {p: k for k, p in enumerate(steps)}
+    opens = {p[:n] for p in steps for n in range(len(p) + 1)}
     names = {p[-1][1:-1] for p in steps if p and p[-1].startswith("{")} | {s[1:-1] for p in steps for s in p if s.startswith("{")}
     out: list[tuple] = []
     pre, post = start, start
@@ -70,27 +71,32 @@ def label_nodes(root, steps: list[tuple[str, ...]], start: int = 0) -> tuple[lis
             out[place] = (row[0], post, *row[2:])
             post += 1
             continue
-        out.append((pre, 0, depth, wanted.get(at, -1), key, value))
+        step = wanted.get(at, -1)
+        if not isinstance(value, (dict, list)):  # a leaf opens and closes at once
+            out.append((pre, post, depth, step, key, value))
+            pre += 1
+            post += 1
+            continue
+        out.append((pre, 0, depth, step, key, value))
         stack.append((at, key, None, depth, len(out) - 1))
         pre += 1
-        below = _children(at, value, wanted, names)
-        stack.extend((p, k, v, depth + 1, None) for p, k, v in reversed(below))
+        stack.extend([(p, k, v, depth + 1, None) for p, k, v in reversed(_children(at, value, opens, names))])
     return out, pre
 
 
-def _children(at: tuple, value, wanted: dict, names: set[str]) -> list[tuple]:
+def _children(at: tuple, value, opens: set[tuple], names: set[str]) -> list[tuple]:
+    """(path, key, value) of a node's children; opens: the beginnings of the paths of interest."""
     star, each = (*at, "*"), [(*at, f"{{{n}}}") for n in names]
-    opens = lambda p: any(w[: len(p)] == p for w in wanted)
     if isinstance(value, list):
         for p in each:
-            if opens(p):
+            if p in opens:
                 return [(p, str(v.get(p[-1][1:-1])), v) for v in value if isinstance(v, dict) and v.get(p[-1][1:-1]) is not None]
         return [(star, None, v) for v in value if v is not None]
     if isinstance(value, dict):
         for p in each:
-            if opens(p):
+            if p in opens:
                 return [(p, k, v) for k, v in value.items() if v is not None]
-        if opens(star):
+        if star in opens:
             return [(star, None, value)]  # one element without its array
         return [((*at, k), k, v) for k, v in value.items() if v is not None]
     return []
