@@ -8,6 +8,8 @@ is no box.  Every join has the page as equi key, so pages spread over tasks.
 from __future__ import annotations
 
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -221,8 +223,11 @@ def scopes(nodes: DataFrame, keys: list[str], starts: Column) -> DataFrame:
     return nodes.withColumn("scope", F.sum(F.when(starts, 1).otherwise(0)).over(_ordered(keys).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-# Marks that open a problem.
+# Marks that open a problem, ends of a stem that call for a short answer, heads of a list of statements and of conditions.
 PROBLEM_START = r"\[[0-9]{5}-[0-9]{4}\]|[0-9]{4}학년도\s*(수능|모의평가|모평)"
+SHORT_ANSWER = r"(구하시오|나타내시오|고르시오)\s*\.?\s*$"
+STATEMENT_HEAD = r"보기\b|[ㄱㄴㄷㄹ]\s*[.)]"
+CONDITION_HEAD = r"\(?[가나다라]\)"
 
 
 def cluster_lines(tokens: DataFrame, keys: list[str], y_share: float = 0.65, x_share: float = 8.0) -> DataFrame:
@@ -296,12 +301,8 @@ def problem_units(nodes: DataFrame, keys: list[str]) -> DataFrame:
     choices is outside.  Fewer marks are part of the stem.  A scope counts only with a
     stem and either choices or a stem that ends in a call for a short answer.
     """
-    from quirework.functions.text import CHOICE_MARK
-
     schema = ", ".join(f"{k} {t}" for k, t in nodes.select(*keys).dtypes) + ", scope long, role string, node_id string, place int"
-    import re
-
-    mark, answer = re.compile(CHOICE_MARK), re.compile(r"(구하시오|나타내시오|고르시오)\s*\.?\s*$")
+    mark, answer = re.compile(X.CHOICE_MARK), re.compile(SHORT_ANSWER)
 
     def walk(key: tuple, scope: pd.DataFrame) -> pd.DataFrame:
         roles: list[tuple[str, str]] = []
@@ -325,7 +326,7 @@ def problem_units(nodes: DataFrame, keys: list[str]) -> DataFrame:
                     break
                 roles += [("stem", p) for p in pending]
                 pending, seen = [], set()
-            role = "bogi" if re.match(r"보기\b|[ㄱㄴㄷㄹ]\s*[.)]", text) else "condition" if re.match(r"\(?[가나다라]\)", text) else "stem"
+            role = "bogi" if re.match(STATEMENT_HEAD, text) else "condition" if re.match(CONDITION_HEAD, text) else "stem"
             roles.append((role, t.node_id))
             short |= role == "stem" and bool(answer.search(text))
         if pending:

@@ -34,13 +34,16 @@ def shared_folder(spark: SparkSession) -> str | None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and return it without its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where the session
-    names none (a local test run) a temporary folder of this machine is used.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Where the session names
+    none, a local session (a test) gets a temporary folder; on a cluster, where a
+    machine's own folder would not survive a lost executor, that is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="quirework-"))
+        folder = shared_folder(df.sparkSession)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirework-"))
     return df.checkpoint(eager=True)
 
 
