@@ -9,6 +9,7 @@ from __future__ import annotations
 
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -230,67 +231,83 @@ STATEMENT_HEAD = r"보기\b|[ㄱㄴㄷㄹ]\s*[.)]"
 CONDITION_HEAD = r"\(?[가나다라]\)"
 
 
+def _per_page(rows: DataFrame, keys: list[str], columns: list[str], fold: Callable[[list[dict]], list[tuple]], out: str) -> DataFrame:
+    """fold over each page's rows: (keys, out).  Pages travel as one row each, so Python is not entered anew for every page."""
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("__rows"))
+    names = [*keys, *(part.split()[0] for part in out.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for *key, page in zip(*(batch[k] for k in keys), batch["__rows"]):
+                found += [(*key, *r) for r in fold(list(page))]
+            yield pd.DataFrame(found, columns=names).astype(object)
+
+    return packed.mapInPandas(run, ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes) + ", " + out)
+
+
+def _median(values: list[float]) -> float:
+    v, n = sorted(values), len(values)
+    return v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2
+
+
 def cluster_lines(tokens: DataFrame, keys: list[str], y_share: float = 0.65, x_share: float = 8.0) -> DataFrame:
     """(keys, line, tokens, text, x, y, w, h): tokens gathered into lines, page by page.
 
     Tokens come from top to bottom; each joins the first line whose median centre is
     within y_share of the larger of its height and the line's median height and whose
-    gap is at most x_share heights; otherwise it opens a line.  A page is one group.
+    gap is at most x_share heights; otherwise it opens a line.  Tokens without a box
+    are left out.
     """
-    schema = ", ".join(f"{k} {t}" for k, t in tokens.select(*keys).dtypes) + ", line int, tokens int, text string, x double, y double, w double, h double"
 
-    def gather(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        page = page.dropna(subset=["x", "y", "w", "h"])
-        page = page.assign(c=page.y + page.h / 2).sort_values(["c", "x", "node_id"], kind="stable")
-        lines: list[list] = []
-        for t in page.itertuples():
+    def gather(page: list[dict]) -> list[tuple]:
+        lines: list[list[dict]] = []
+        for t in sorted(page, key=lambda t: (t["y"] + t["h"] / 2, t["x"], t["node_id"])):
+            centre = t["y"] + t["h"] / 2
             for line in lines:
-                mid = sorted(m.c for m in line)[len(line) // 2] if len(line) % 2 else sum(sorted(m.c for m in line)[len(line) // 2 - 1 : len(line) // 2 + 1]) / 2
-                heights = sorted(m.h for m in line)
-                height = heights[len(line) // 2] if len(line) % 2 else sum(heights[len(line) // 2 - 1 : len(line) // 2 + 1]) / 2
-                tall = max(t.h, height)
-                gap = max(t.x - max(m.x + m.w for m in line), min(m.x for m in line) - (t.x + t.w), 0.0)
-                if abs(t.c - mid) <= y_share * tall and gap <= x_share * tall:
+                tall = max(t["h"], _median([m["h"] for m in line]))
+                gap = max(t["x"] - max(m["x"] + m["w"] for m in line), min(m["x"] for m in line) - (t["x"] + t["w"]), 0.0)
+                if abs(centre - _median([m["y"] + m["h"] / 2 for m in line])) <= y_share * tall and gap <= x_share * tall:
                     line.append(t)
                     break
             else:
                 lines.append([t])
         out = []
-        for n, line in enumerate(sorted(lines, key=lambda m: (min(t.y for t in m), min(t.x for t in m)))):
-            line.sort(key=lambda t: t.x)
-            x, y = min(t.x for t in line), min(t.y for t in line)
-            out.append((*key, n, len(line), " ".join(str(t.text) for t in line if t.text is not None), x, y, max(t.x + t.w for t in line) - x, max(t.y + t.h for t in line) - y))
-        return pd.DataFrame(out, columns=[*keys, "line", "tokens", "text", "x", "y", "w", "h"])
+        for n, line in enumerate(sorted(lines, key=lambda m: (min(t["y"] for t in m), min(t["x"] for t in m)))):
+            line.sort(key=lambda t: t["x"])
+            x, y = min(t["x"] for t in line), min(t["y"] for t in line)
+            right, bottom = max(t["x"] + t["w"] for t in line), max(t["y"] + t["h"] for t in line)
+            out.append((n, len(line), " ".join(t["text"] for t in line if t["text"] is not None), x, y, right - x, bottom - y))
+        return out
 
-    return tokens.select(*keys, "node_id", "text", "x", "y", "w", "h").groupBy(*keys).applyInPandas(gather, schema)
+    boxed = tokens.where(HAS_BOX)
+    return _per_page(boxed, keys, ["node_id", "text", "x", "y", "w", "h"], gather, "line int, tokens int, text string, x double, y double, w double, h double")
 
 
 def cluster_blocks(lines: DataFrame, keys: list[str], gap_share: float = 1.35, least_overlap: float = 0.2) -> DataFrame:
-    """Lines with block: each line goes, from top to bottom, to the block above it with the smallest gap (at most gap_share heights) and enough overlap."""
-    columns = lines.columns
-    schema = ", ".join(f"{k} {t}" for k, t in lines.dtypes) + ", block int"
+    """(keys, line, x, y, w, h, block): each line goes, from top to bottom, to the block above it with the smallest gap (at most gap_share heights) and enough overlap."""
 
-    def gather(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", "line"], kind="stable")
+    def gather(page: list[dict]) -> list[tuple]:
         blocks: list[list[float]] = []
         out = []
-        for t in page.itertuples():
-            best = None
-            for k, (x0, x1, bottom) in enumerate(blocks):
-                gap = t.y - bottom
-                share = max(0.0, min(x1, t.x + t.w) - max(x0, t.x)) / max(min(x1 - x0, t.w), 1.0)
-                if 0 <= gap <= gap_share * t.h and share >= least_overlap and (best is None or gap < best[0]):
-                    best = (gap, k)
-            if best is None:
-                blocks.append([t.x, t.x + t.w, t.y + t.h])
-                out.append(len(blocks) - 1)
+        for t in sorted(page, key=lambda t: (t["y"], t["x"], t["line"])):
+            left, right, bottom = t["x"], t["x"] + t["w"], t["y"] + t["h"]
+            fits = []
+            for k, (x0, x1, low) in enumerate(blocks):
+                share = max(0.0, min(x1, right) - max(x0, left)) / max(min(x1 - x0, t["w"]), 1.0)
+                if 0 <= t["y"] - low <= gap_share * t["h"] and share >= least_overlap:
+                    fits.append((t["y"] - low, k))
+            if fits:
+                k = min(fits)[1]
+                x0, x1, low = blocks[k]
+                blocks[k] = [min(x0, left), max(x1, right), max(low, bottom)]
             else:
-                b = blocks[best[1]]
-                b[0], b[1], b[2] = min(b[0], t.x), max(b[1], t.x + t.w), max(b[2], t.y + t.h)
-                out.append(best[1])
-        return page.assign(block=out)[[*columns, "block"]]
+                k = len(blocks)
+                blocks.append([left, right, bottom])
+            out.append((t["line"], t["x"], t["y"], t["w"], t["h"], k))
+        return out
 
-    return lines.groupBy(*keys).applyInPandas(gather, schema)
+    return _per_page(lines, keys, ["line", "x", "y", "w", "h"], gather, "line int, x double, y double, w double, h double, block int")
 
 
 def problem_units(nodes: DataFrame, keys: list[str]) -> DataFrame:
