@@ -168,16 +168,25 @@ def train(samples: list[tuple[str, str]], order: int = 5, discount: float = 0.75
     return models
 
 
-def _fit(languages: list[str], by: dict[str, list[str]], order: int, discount: float) -> CharModels:
+def _count_grams(words: Counter, order: int) -> Counter:
+    """How often each n-gram of up to order signs ends inside the framed words; an n-gram's length says which n."""
+    out: Counter = Counter()
+    for w, c in words.items():
+        s = chr(_PAD) + w + chr(_END)
+        for i in range(1, len(s)):
+            for n in range(1, min(order, i + 1) + 1):
+                out[s[i - n + 1 : i + 1]] += c
+    return out
+
+
+def _fit(languages: list[str], by: dict[str, list[str]], order: int, discount: float, more: dict[str, Counter] | None = None) -> CharModels:
+    """Models from the sentences of each language and, if given, from n-gram counts besides."""
     L = len(languages)
     counts: list[list[Counter]] = [[Counter() for _ in languages] for _ in range(order)]
     for j, l in enumerate(languages):
-        words = Counter(w for t in by[l] for w in _letters().findall(plain_text(t)))
-        for w, c in words.items():
-            s = chr(_PAD) + w + chr(_END)
-            for i in range(1, len(s)):
-                for n in range(1, min(order, i + 1) + 1):
-                    counts[n - 1][j][s[i - n + 1 : i + 1]] += c
+        for part in (_count_grams(Counter(w for t in by[l] for w in _letters().findall(plain_text(t))), order), (more or {}).get(l, {})):
+            for g, c in part.items():
+                counts[len(g) - 1][j][g] += c
     # Below the highest order a gram counts the different characters before it (continuation count); grams at a word's begin have none before and keep their counts.
     kn = [[Counter() for _ in languages] for _ in range(order)]
     for j in range(L):
@@ -234,11 +243,12 @@ def _fit(languages: list[str], by: dict[str, list[str]], order: int, discount: f
 
 
 def _keys(grams: list[str]) -> np.ndarray:
-    out = np.zeros(len(grams), np.uint64)
-    for k, g in enumerate(grams):
-        codes = np.array([ord(c) for c in g], np.uint64)
-        out[k] = _gram_hashes(codes, np.array([len(codes)]), len(codes))[-1][-1]
-    return out
+    """Hashes of n-grams of one length."""
+    if not grams:
+        return np.zeros(0, np.uint64)
+    n = len(grams[0])
+    codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return _gram_hashes(codes, np.full(len(grams), n, np.int64), n)[-1][n - 1 :: n]
 
 
 def score_words(models: CharModels, words: list[str]) -> np.ndarray:
@@ -298,47 +308,77 @@ def fitted(samples: DataFrame, lang: str = "lang", text: str = "text", max_rows:
     return train([(r[0], r[1]) for r in rows], **options)
 
 
+def clear_words(documents: DataFrame, models: CharModels, text: str = "text", sure_bits: float = 20.0, main_share: float = 0.7, min_letters: int = 20) -> DataFrame:
+    """(lang, word, n): how often each word stands in clear sentences of a language, over all documents.
+
+    A sentence is clear if its language leads by sure_bits and makes up main_share of
+    its document's letters.  Counts are combined in each slice and before the shuffle.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        L = len(m.languages)
+        for batch in slices(batches):
+            lists, owner = [], []
+            for d, raw in enumerate(batch["text"]):
+                plain = plain_text(raw)
+                for b, e in sentences(plain):
+                    lists.append(_letters().findall(plain[b:e]))
+                    owner.append(d)
+            if not lists or L < 2:
+                continue
+            scores, signs = _score_lists(m, lists)
+            letters, at, best = signs - np.array([len(x) for x in lists]), np.array(owner), scores.argmin(1)
+            mass = np.bincount(at * L + best, letters, len(batch) * L).reshape(-1, L)
+            order = np.sort(scores, 1)
+            ok = (order[:, 1] - order[:, 0] >= sure_bits) & (letters >= min_letters) & (best == mass.argmax(1)[at]) & (mass.max(1) >= main_share * mass.sum(1))[at]
+            counts: list[Counter] = [Counter() for _ in m.languages]
+            for k in np.flatnonzero(ok):
+                counts[best[k]].update(lists[k])
+            for l, c in zip(m.languages, counts):
+                if c:
+                    yield pd.DataFrame({"lang": l, "word": list(c), "n": list(c.values())})
+
+    source = documents.where(F.col(text) != "").select(F.col(text).alias("text"))
+    return source.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(words: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n): counts of the n-grams of counted words, combined in each batch and before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for l, part in batch.groupby("lang"):
+                c = _count_grams(Counter(dict(zip(part["word"], part["n"].tolist()))), order)
+                yield pd.DataFrame({"lang": l, "gram": list(c), "n": list(c.values())})
+
+    return words.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def adapted(
-    models: CharModels, samples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_text: str = "text", max_documents: int = 2000, per_language: int = 1000,
+    models: CharModels, samples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_text: str = "text", max_documents: int | None = None,
     sure_bits: float = 20.0, main_share: float = 0.7, min_letters: int = 20,
 ) -> CharModels:
-    """Models trained once more, with the words of the corpus: verified sentences plus clear sentences of a sample of documents.
+    """Models trained once more, with the words of the corpus: verified sentences plus the clear sentences of all documents.
 
-    The sample is bounded: about max_documents documents (at most twice as many),
-    chosen by the hash of their id, and at most per_language sentences of each
-    language.  A sentence joins its language if it leads there by sure_bits and the
-    language makes up main_share of its document's letters.  Labels are not read.
-    The rejection bounds stay those of the verified sentences.
+    The n-grams of the clear sentences are counted where the documents are; only their
+    sums come to the driver.  Labels are not read.  max_documents, for trials only,
+    takes about so many documents by the hash of their id.  The rejection bounds stay
+    those of the verified sentences.
     """
-    every = max(1, documents.count() // max_documents)
-    chosen = documents.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(every)) == 0).where(F.col(text) != "").select(text).limit(2 * max_documents).collect()
-    found: dict[str, list[str]] = defaultdict(list)
-    lists, owner, pieces = [], [], []
-    for d, row in enumerate(chosen):
-        plain = plain_text(row[0])
-        for b, e in sentences(plain):
-            pieces.append(plain[b:e])
-            lists.append(_letters().findall(plain[b:e]))
-            owner.append(d)
-    scores, signs = _score_lists(models, lists)
-    if len(scores) and len(models.languages) > 1:
-        letters, at, best = signs - np.array([len(x) for x in lists]), np.array(owner), scores.argmin(1)
-        L = len(models.languages)
-        mass = np.bincount(at * L + best, letters, len(chosen) * L).reshape(-1, L)
-        main = mass.argmax(1)
-        order = np.sort(scores, 1)
-        ok = (order[:, 1] - order[:, 0] >= sure_bits) & (letters >= min_letters) & (best == main[at]) & (mass.max(1) >= main_share * mass.sum(1))[at]
-        for k in np.flatnonzero(ok):
-            mine = found[models.languages[best[k]]]
-            if len(mine) < per_language:
-                mine.append(pieces[k])
+    if max_documents is not None:
+        every = max(1, documents.count() // max_documents)
+        documents = documents.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(every)) == 0)
+    found: dict[str, Counter] = defaultdict(Counter)
+    grams = gram_counts(clear_words(documents, models, text, sure_bits, main_share, min_letters), models.order).toArrow()
+    for l, g, n in zip(*(grams[c].to_pylist() for c in ("lang", "gram", "n"))):
+        found[l][g] = n
     verified = samples.where(F.col(lang).isin(models.languages) & F.col(sample_text).isNotNull()).select(lang, sample_text).orderBy(lang, sample_text).limit(100_000).collect()
     by: dict[str, list[str]] = defaultdict(list)
     for r in verified:
         by[r[0]].append(r[1])
-    for l in models.languages:
-        by[l] += found[l]
-    again = _fit(models.languages, by, models.order, 0.75)
+    again = _fit(models.languages, by, models.order, 0.75, found)
     again.bound = models.bound
     return again
 
