@@ -57,11 +57,25 @@ def centre_inside(a: str, b: str) -> Column:
 
 
 def sign_hash(vector: Column | str) -> Column:
-    """A 63-bit hash of a vector: bit k is set if element k is positive."""
+    """A 63-bit hash of a vector's first 63 elements: bit k is set if element k is positive.  See sign_words for all elements."""
     bits = F.transform(F.slice(_c(vector), 1, 63), lambda v, k: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def sign_words(vector: Column | str) -> Column:
+    """The signs of all elements of a vector in 64-bit words: bit k of word w is set if element 64 w + k is positive."""
+    v = _c(vector)
+    bit = lambda x, k: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    word = lambda w: F.aggregate(F.transform(F.slice(v, w * 64 + 1, F.lit(64)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int")), word))
+
+
+def words_distance(a: Column | str, b: Column | str) -> Column:
+    """Number of differing bits of two arrays of 64-bit words; null if they differ in length."""
+    d = F.aggregate(F.zip_with(_c(a), _c(b), hamming), F.lit(0), lambda s, n: s + n)
+    return F.when(F.size(_c(a)) == F.size(_c(b)), d)
+
+
 def hex_hash(text: Column | str) -> Column:
     """The bits of a hash of up to 16 hexadecimal digits as a (signed) bigint; null for other text."""
     t = F.lpad(F.lower(_c(text)), 16, "0")

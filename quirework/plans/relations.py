@@ -264,13 +264,22 @@ def order_nations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """NUM-03, JN-12: nearest earlier vector of each vector in its label by the hash of signs."""
+    """NUM-03, JN-12: nearest other vector of its label for each twentieth vector, by the hash of the first 63 signs."""
     e = table(spark, folder, "embeddings").select("vec_id", "label", V.sign_hash("embedding").alias("h"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("label"), F.col("h").alias("qh"))
     d = q.join(e, "label").where("q_id <> vec_id").withColumn("d", V.hamming("qh", "h"))
     return d.groupBy("q_id").agg(F.min(F.struct("d", "vec_id")).alias("m")).select("q_id", F.col("m.vec_id").alias("vec_id"), F.col("m.d").alias("bits"))
 
 
+def vector_sign_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """NUM-03, JN-12: nearest other vector of all rows for each twentieth vector, by the signs of all elements."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.size("embedding").alias("n"), V.sign_words("embedding").alias("h"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("n").alias("qn"), F.col("h").alias("qh"))
+    # Every query meets every row, block by block; each block keeps its nearest before the shuffle.
+    d = q.crossJoin(e).where("q_id <> vec_id and qn = n").withColumn("d", V.words_distance("qh", "h")).where("d is not null")
+    return d.groupBy("q_id").agg(F.min(F.struct("d", "vec_id")).alias("m")).select("q_id", F.col("m.vec_id").alias("vec_id"), F.col("m.d").alias("bits"))
+
+
 def vector_matches(spark: SparkSession, folder: str) -> DataFrame:
     """NUM-04: error, correlation and product of each query vector with the next vectors of its label."""
     e = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
@@ -340,6 +349,9 @@ SELECT l_orderkey, CAST(position AS INTEGER) AS position, r.l_partkey AS "left",
     "order_nations": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "vector_hashes": f"""WITH e AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings)
 SELECT q_id, vec_id, CAST(d AS INTEGER) AS bits FROM (SELECT q.vec_id AS q_id, e.vec_id, bit_count(xor(q.h, e.h)) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.h, e.h)), e.vec_id) AS k FROM e q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE k = 1""",
+    "vector_sign_matches": """SELECT q_id, vec_id, CAST(d AS INTEGER) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS k FROM (
+  SELECT q.vec_id AS q_id, e.vec_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda k: CASE WHEN coalesce(q.embedding[k] > 0, false) <> coalesce(e.embedding[k] > 0, false) THEN 1 ELSE 0 END)) AS d
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id AND len(q.embedding) = len(e.embedding) WHERE q.vec_id % 20 = 0 AND len(q.embedding) > 0)) WHERE k = 1""",
     "vector_matches": """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
 s AS (SELECT *, len(a) AS n, list_sum(a) AS sa, list_sum(b) AS sb, list_inner_product(a, b) AS ab, list_inner_product(a, a) AS aa, list_inner_product(b, b) AS bb FROM n WHERE b IS NOT NULL)
 SELECT vec_id, round(list_sum(list_transform(range(1, n + 1), lambda k: abs(a[k] - b[k]))) / n, 5) AS mae, round((ab - sa * sb / n) / sqrt((aa - sa * sa / n) * (bb - sb * sb / n)), 5) AS ncc, round(ab, 4) AS dot FROM s""",
@@ -351,6 +363,6 @@ QUERIES = {
     for q in (
         doc_quality_report, doc_issue_scores, doc_source_defaults, doc_support, doc_math_scores, doc_token_classes, doc_choices, doc_lines, doc_normalised, doc_page_labels, doc_duplicates, doc_viewport, doc_reuse, doc_terms, doc_formulas, doc_formula_readings, doc_word_braille, doc_particles,
         doc_language_modes, doc_append, item_similarity, item_alignment, order_semi, order_anti, order_references, order_sets, order_status, order_gapless, order_nested_max, order_percentiles, order_wins, order_regressions,
-        order_zip, order_anchor, order_type_deltas, order_pricing, order_nations, vector_hashes, vector_matches, vector_cells,
+        order_zip, order_anchor, order_type_deltas, order_pricing, order_nations, vector_hashes, vector_sign_matches, vector_matches, vector_cells,
     )
 }

@@ -247,3 +247,22 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pack" / "nodes")).first()["book_id"] == "b"
     files.write_events(spark.createDataFrame([("a",)], "type string"), str(tmp_path / "ev"))
     assert one(files.read_event_log(spark, str(tmp_path / "ev")))["type"] == "a"
+
+
+def test_sign_words_hold_every_element(spark):
+    """Elements 63 and 64 and those beyond count in the distance; the nearest of all rows is found whatever its label."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    base = [-1.0] * 130
+    flipped = lambda *at: [1.0 if k in at else x for k, x in enumerate(base)]
+    rows = [(base, flipped(62), 1), (base, flipped(63), 1), (base, flipped(64, 127, 129), 3), (base[:64], flipped(63)[:64], 1), (base, base[:64], None), ([], [], None)]
+    df = spark.createDataFrame(rows, "a array<float>, b array<float>, want int")
+    got = df.select("want", V.words_distance(V.sign_words("a"), V.sign_words("b")).alias("d")).collect()
+    assert [r["d"] for r in got] == [r["want"] for r in got]
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    near = entry.queries()["vector_sign_matches"](spark, folder)
+    assert {(r["q_id"], r["vec_id"], r["bits"]) for r in near.collect()} == set(con.sql(entry.oracle_sql()["vector_sign_matches"]).fetchall())
