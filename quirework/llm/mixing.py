@@ -172,10 +172,12 @@ class Mixture:
 
     def __init__(
         self, documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, total_tokens: int | None = None,
-        tokenizer: str = TOKENIZER, pattern: str | None = None, buckets: int = 4096, max_patterns: int = 100_000,
+        tokenizer: str = TOKENIZER, pattern: str | None = None, buckets: int = 4096, max_patterns: int = 100_000, max_targets: int = 10_000,
     ) -> None:
         self.spark = documents.sparkSession
-        wanted = targets.select(plain_source("source").alias("s"), "target_share", "max_repeats").where("s is not null").limit(10_000).collect()
+        wanted = targets.select(plain_source("source").alias("s"), "target_share", "max_repeats").where("s is not null").limit(max_targets + 1).collect()
+        if len(wanted) > max_targets:
+            raise ValueError(f"more than {max_targets} target sources; give fewer or a larger max_targets")
         self.shares = {r[0]: float(r[1] or 0) for r in wanted}
         repeats = {r[0]: int(r[2] or 0) for r in wanted}
         cut = pattern or cut_pattern(tokenizer)

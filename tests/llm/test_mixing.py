@@ -87,3 +87,10 @@ def test_too_large_total_and_empty(spark):
     empty = mixing.Mixture(docs.limit(0), targets)
     assert empty.documents().count() == 0
     assert [r["tokens"] for r in empty.shares_reached().collect()] == [0, 0, 0]
+
+
+def test_too_many_targets_are_refused(spark):
+    _, docs, _ = docs_and_targets(spark)
+    targets = spark.range(10_001).selectExpr("concat('s', id) as source", "1 / 10001D as target_share", "1 as max_repeats")
+    with pytest.raises(ValueError, match="more than 10000 target sources"):
+        mixing.Mixture(docs, targets)
