@@ -113,16 +113,24 @@ def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("doc_id", F.size("r.applied").alias("rules"), F.char_length("r.text").alias("chars"))
 
 
+def _formula_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(line): lines with a relation between two sides, in no script of words and without the end of a sentence; a point inside a number and a factorial are neither."""
+    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line"))
+    related = F.col("line").rlike(r"\S\s*(?:[=<>≥≤≠≈≡]|\\(?:geq?|leq?|neq?|approx|equiv)(?![A-Za-z]))\s*\S")
+    prose = F.col("line").rlike(r"[가-힣ぁ-ん一-鿿?]|(?<![0-9])\.|\.(?![0-9])|(?<![0-9A-Za-z)\]}])!|[A-Za-z]{2}!")
+    return lines.where(related & ~prose)
+
+
 def doc_formulas(spark: SparkSession, folder: str) -> DataFrame:
     """STR-19, STR-20, GRD-08: formula lines of documents parsed; how many have each status and fault."""
-    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[^가-힣ぁ-ん一-鿿.?!]{3,60}=[^가-힣ぁ-ん一-鿿.?!]{1,60}$"))
+    lines = _formula_lines(spark, folder)
     f = lines.groupBy("line").agg(F.count("*").alias("n")).select("n", M.formula_tree_udf("line").alias("f"), X.formula_problem("line").alias("fault"))
     return f.groupBy(F.col("f.status").alias("status"), "fault").agg(F.count("*").alias("formulas"), F.sum("n").alias("lines"))
 
 
 def doc_formula_readings(spark: SparkSession, folder: str) -> DataFrame:
     """STR-15, STR-16, STR-18: speech and number of braille cells of each different formula line."""
-    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike("^[a-z0-9_^ +=-]{3,40}$") & F.col("line").contains("=")).distinct()
+    lines = _formula_lines(spark, folder).distinct()
     b = lines.select("line", M.formula_speech_udf("line").alias("speech"), M.formula_braille_udf("line").alias("b"))
     return b.select("line", "speech", F.size("b.cells").alias("cells"), "b.error")
 
