@@ -101,7 +101,7 @@ def doc_viewport(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_reuse(spark: SparkSession, folder: str) -> DataFrame:
-    """MAP-02: documents whose book and text are stored under another document: kept, others to be made."""
+    """MAP-02: documents of odd number whose book and text are stored under one of even number: kept, others to be made."""
     d = _docs(spark, folder).select("doc_id", F.coalesce("book_id", F.lit("")).alias("key"), "text")
     old = d.where("doc_id % 2 = 0").groupBy("key", "text").agg(F.min("doc_id").alias("asset"))
     return documents.reused(d.where("doc_id % 2 = 1"), old, "key", "text", "asset").select("doc_id", "asset", "action")
