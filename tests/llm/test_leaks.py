@@ -38,7 +38,6 @@ def test_against_brute_force(spark):
     docs += [(500, docs[0][1]), (501, None), (502, "")]
     want = brute(docs, items)
     assert want and found(spark, docs, items) == want
-    assert found(spark, docs, items, block_signatures=100) == want  # several blocks of items
 
 
 def test_forms_do_not_matter(spark):
@@ -67,10 +66,35 @@ def test_empty(spark):
     assert found(spark, [], [(1, "a " * 20)]) == {} and found(spark, [(1, "a " * 20)], []) == {}
 
 
-def test_windows_of_equal_words_have_equal_signatures():
-    a, b = words(60, 7), words(60, 8)
-    b[20:32] = a[5:17]
-    _, _, sa = leaks.window_signatures([a], 12, 2)
-    _, _, sb = leaks.window_signatures([b], 12, 2)
-    assert sa[5] == sb[20]
-    assert 1 <= len(np.intersect1d(sa, sb)) <= 3
+def test_classes_follow_from_the_threshold():
+    classes = leaks.size_classes(8, 1e-5)
+    assert [u for u, _, _ in classes] == [8, 10, 12, 14, 16]
+    for u, j, bands in classes:
+        assert j == 8 / (u + 8) and (1 - j) ** bands <= 1e-5 < (1 - j) ** (bands - 1)
+
+
+def test_every_run_lies_in_one_piece():
+    for n in (11, 12, 13, 20, 27, 28, 29, 100):
+        p = leaks.Pieces([words(3, 1), words(n, 2), []], 12)
+        spans = [(w, w + k) for o, w, k in zip(p.owner, p.word, p.words) if o == 1]
+        assert all(any(a <= k and k + 12 <= b for a, b in spans) for k in range(n - 11)) and set(p.owner) <= {1}
+        assert all(8 <= s <= 16 for s in p.size[:1])
+
+
+def test_minima_estimate_similarity():
+    """Two pieces that share 8 of 24 shingles agree in about a third of the bands."""
+    rng = random.Random(6)
+    agree = []
+    for k in range(200):
+        a, b = words(20, rng.randrange(10**9)), words(20, rng.randrange(10**9))
+        b[:12] = a[8:]
+        pa, pb = leaks.Pieces([a], 12), leaks.Pieces([b], 12)
+        agree += [pa.minima(r)[0] == pb.minima(r)[0] for r in range(29)]
+    assert abs(np.mean(agree) - 1 / 3) < 0.03
+
+
+def test_recall_of_shortest_leaks(spark):
+    """Twelve words of a long item in a long document, at every alignment: all found."""
+    item = words(60, 1)
+    docs = [(k, " ".join(words(20 + k % 9, k) + item[k % 49 : k % 49 + 12] + words(25, 7000 + k))) for k in range(1500)]
+    assert len(found(spark, docs, [(1, " ".join(item))])) == 1500
