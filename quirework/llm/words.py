@@ -11,10 +11,10 @@ from functools import lru_cache
 import pandas as pd
 
 
-def char_class(categories: tuple[str, ...]) -> str:
-    """The inside of a regular-expression class with every character of the given general categories."""
+def char_class(categories: tuple[str, ...], last: int = sys.maxunicode) -> str:
+    """The inside of a regular-expression class with every character, up to last, of the given general categories."""
     spans: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
+    for c in range(last + 1):
         if unicodedata.category(chr(c)).startswith(categories):
             if spans and spans[-1][1] == c - 1:
                 spans[-1][1] = c
@@ -23,16 +23,25 @@ def char_class(categories: tuple[str, ...]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
-@lru_cache(1)
-def word_pattern() -> re.Pattern:
+#: Characters of two or more 16-bit units.  A class that has none of them is tested by one table look-up, another range by range.
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+
+
+def last_plane(text: str) -> int:
+    """The last character that a class needs to cover for this text."""
+    return sys.maxunicode if _HIGH.search(text) else 0xFFFF
+
+
+@lru_cache(2)
+def word_pattern(last: int = sys.maxunicode) -> re.Pattern:
     """Runs of letters (with their marks) and decimal digits."""
-    return re.compile(f"[{char_class(('L', 'M', 'Nd'))}]+")
+    return re.compile(f"[{char_class(('L', 'M', 'Nd'), last)}]+")
 
 
-@lru_cache(1)
-def _odd_pattern() -> re.Pattern:
+@lru_cache(2)
+def _odd_pattern(last: int = sys.maxunicode) -> re.Pattern:
     """Characters that have to be replaced before words are cut: invisible ones and width variants."""
-    return re.compile(f"[{char_class(('Cf',))}︀-️͏！-￯]")
+    return re.compile(f"[{char_class(('Cf',), last)}︀-️͏！-￯]")
 
 
 def _plain_char(found: re.Match) -> str:
@@ -44,11 +53,13 @@ def plain_words(text: str | None) -> list[str]:
     """The words of a text without regard to case, punctuation, blanks, invisible characters, width and composition."""
     if not text:
         return []
+    last = 0xFFFF
     if not text.isascii():
-        text = _odd_pattern().sub(_plain_char, text)
+        last = last_plane(text)
+        text = _odd_pattern(last).sub(_plain_char, text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-    return word_pattern().findall(text.casefold())
+    return word_pattern(last).findall(text.casefold())
 
 
 def slices(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
