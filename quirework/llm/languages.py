@@ -1,13 +1,15 @@
 """Language of documents and of their sentences, whatever their label says.
 
 One interpolated Kneser-Ney character model per language is trained on verified
-sentences.  The models live in sorted hash arrays, one per n-gram length, with a
+sentences, and once more with the clear sentences of the corpus, whose n-grams are
+counted where the documents are.  The models live in sorted hash arrays, one per n-gram length, with a
 column per language: a text's n-grams are found by binary search and all languages
 are scored at once.  A word's characters are predicted from the characters before
 them in the word, so a word scores the same wherever it stands and each distinct
 word of a batch is scored once.  A sentence gets the language of the lowest
-length-normalised cross-entropy; it is rejected if that exceeds the language's
-calibrated bound.
+length-normalised cross-entropy.  It is rejected if that exceeds what the language's
+own held-out sentences reach, or if the next language is about as good.  Bounds and
+confidence are calibrated by cross-validation on the verified sentences.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import unicodedata
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from quirework.llm.words import char_class, slices
+from quirework.llm.words import char_class, last_plane, slices
 
 # Notations of the languages, lower case, besides their two-letter codes.
 NOTATIONS = {
@@ -56,24 +58,29 @@ def named_languages(label: str | None) -> list[str]:
     return found
 
 
-@lru_cache(1)
-def _letters() -> re.Pattern:
+@lru_cache(2)
+def _letters(last: int = 0x10FFFF) -> re.Pattern:
     """Runs of letters with their marks; an apostrophe inside a run belongs to it."""
     # \w is tested faster than a class of its own; after plain_text it holds letters, digits and the underline only.
-    run = f"(?:[^\\W\\d_]++[{char_class(('M',))}]*+)+"
+    run = f"(?:[^\\W\\d_]++[{char_class(('M',), last)}]*+)+"
     return re.compile(f"{run}(?:['’]{run})*")
 
 
-@lru_cache(1)
-def _invisible() -> re.Pattern:
-    return re.compile(f"[{char_class(('Cf',))}]")
+@lru_cache(2)
+def _invisible(last: int = 0x10FFFF) -> re.Pattern:
+    return re.compile(f"[{char_class(('Cf',), last)}]")
+
+
+def words_of(plain: str) -> list[str]:
+    """The words of a plain text."""
+    return _letters(last_plane(plain)).findall(plain)
 
 
 def plain_text(text: str) -> str:
     """Text in composed form, without invisible characters and width variants, in small letters; a blank follows full-width stops, which end a sentence wherever they stand."""
     if not text.isascii():
         text = text.replace("？", "? ").replace("！", "! ")
-        text = _invisible().sub("", text)
+        text = _invisible(last_plane(text)).sub("", text)
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
     return text.lower()
@@ -81,7 +88,12 @@ def plain_text(text: str) -> str:
 
 # A sentence ends at a full-width stop, at a stop before a blank (closing quotes or brackets may stand between), and at an empty line.
 # Where a text is written without blanks, a stop also ends a sentence before another script and before a formula.
-_STOP = re.compile(r"[。！？]+[」』”’）)]*|[.!?…]+[\"'»”’)\]]*(?=\s|$|[(「『（]?[ぁ-ヿ㐀-鿿가-힣]|[A-Za-z]{1,3}[_^(]|\([0-9])|\n(?=[ \t]*\n)")
+# The pattern begins with one class, so that the search jumps from sign to sign.
+_STOP = re.compile(
+    r"[。！？.!?…\n](?:(?<=[。！？])[。！？]*[」』”’）)]*"
+    r"|(?<=[.!?…])[.!?…]*[\"'»”’)\]]*(?=\s|$|[(「『（]?[ぁ-ヿ㐀-鿿가-힣]|[A-Za-z]{1,3}[_^(]|\([0-9])"
+    r"|(?<=\n)(?=[ \t]*\n))"
+)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -106,6 +118,8 @@ class CharModels:
     keys[n]: sorted hashes of the (n+1)-grams seen in any language.  gain[n][k, l] is
     the discounted probability of n-gram k in language l; back[n][k, l] the weight that
     language l gives to the shorter context when n-gram k is the context (1 where unseen).
+    bound[l]: the highest cross-entropy, in bits a sign, at which language l is accepted;
+    temperature: by which bits are divided to give probabilities.
     """
 
     languages: list[str]
@@ -116,6 +130,7 @@ class CharModels:
     start: np.ndarray
     uniform: float
     bound: np.ndarray
+    temperature: float = 1.0
 
 
 _PAD, _END = 2, 3
@@ -145,12 +160,14 @@ def _scrambled(h: np.ndarray, n: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) | np.uint64(1)
 
 
-def train(samples: list[tuple[str, str]], order: int = 5, discount: float = 0.75, tolerance: float = 1.0) -> CharModels:
-    """Models from (language, sentence) pairs, with rejection bounds.
+def train(samples: list[tuple[str, str]], order: int = 5, discount: float = 0.75, folds: int = 5, deviations: float = 5.0, unseen_share: float = 0.85) -> CharModels:
+    """Models from (language, sentence) pairs, calibrated by cross-validation.
 
-    The bound of a language is the highest cross-entropy that its own held-out
-    sentences (every fifth, scored by models trained on the rest) reach, plus the
-    tolerance as a share of it.
+    Each sentence is scored by models trained without its fold.  The bound of a
+    language is the mean cross-entropy of its own sentences plus so many standard
+    deviations (10 bits where it has fewer than two), but at most unseen_share of what
+    a sign costs that the language never showed.  The temperature is the one under
+    which the held-out sentences' languages are most probable.
     """
     by: dict[str, list[str]] = defaultdict(list)
     for lang, text in samples:
@@ -158,16 +175,29 @@ def train(samples: list[tuple[str, str]], order: int = 5, discount: float = 0.75
             by[lang].append(text)
     languages = sorted(by)
     models = _fit(languages, by, order, discount)
-    rest = {l: [t for k, t in enumerate(by[l]) if k % 5] or by[l] for l in languages}
-    partial = _fit(languages, rest, order, discount)
-    for j, l in enumerate(languages):
-        held = [t for k, t in enumerate(by[l]) if k % 5 == 0]
-        scores, letters = score_texts(partial, held)
-        per = [s[j] / n for s, n in zip(scores, letters) if n]
-        models.bound[j] = max(per, default=10.0) * (1 + tolerance)
+    own: list[list[float]] = [[] for _ in languages]
+    held, truth = [], []
+    for f in range(folds):
+        partial = _fit(languages, {l: [t for k, t in enumerate(by[l]) if k % folds != f] or by[l] for l in languages}, order, discount)
+        for j, l in enumerate(languages):
+            scores, signs = score_texts(partial, [t for k, t in enumerate(by[l]) if k % folds == f])
+            own[j] += [s[j] / n for s, n in zip(scores, signs) if n]
+            held += [s for s, n in zip(scores, signs) if n]
+            truth += [j] * int((signs > 0).sum())
+    models.bound = np.array([np.mean(x) + deviations * np.std(x) if len(x) > 1 else 10.0 for x in own])
+    models.bound = np.minimum(models.bound, -unseen_share * np.log2(models.uniform * models.start))
+    if held:
+        bits, right = np.array(held), np.array(truth)
+        models.temperature = min(2.0 ** np.arange(0, 7, 0.5), key=lambda t: -np.log(np.maximum(posterior(bits, t)[np.arange(len(right)), right], 1e-12)).mean())
     return models
 
 
+def posterior(bits: np.ndarray, temperature: float) -> np.ndarray:
+    """Probabilities of the languages from the bits that each of them needs."""
+    p = np.exp2(-np.minimum((bits - bits.min(1, keepdims=True)) / temperature, 60))
+    return p / p.sum(1, keepdims=True)
+
+
 def _count_grams(words: Counter, order: int) -> Counter:
     """How often each n-gram of up to order signs ends inside the framed words; an n-gram's length says which n."""
     out: Counter = Counter()
@@ -184,7 +214,7 @@ def _fit(languages: list[str], by: dict[str, list[str]], order: int, discount: f
     L = len(languages)
     counts: list[list[Counter]] = [[Counter() for _ in languages] for _ in range(order)]
     for j, l in enumerate(languages):
-        for part in (_count_grams(Counter(w for t in by[l] for w in _letters().findall(plain_text(t))), order), (more or {}).get(l, {})):
+        for part in (_count_grams(Counter(w for t in by[l] for w in words_of(plain_text(t))), order), (more or {}).get(l, {})):
             for g, c in part.items():
                 counts[len(g) - 1][j][g] += c
     # Below the highest order a gram counts the different characters before it (continuation count); grams at a word's begin have none before and keep their counts.
@@ -299,13 +329,16 @@ def _score_lists(models: CharModels, lists: list[list[str]]) -> tuple[np.ndarray
 
 def score_texts(models: CharModels, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bits in each language and number of predicted signs of whole texts."""
-    return _score_lists(models, [_letters().findall(plain_text(t)) for t in texts])
+    return _score_lists(models, [words_of(plain_text(t)) for t in texts])
 
 
-def fitted(samples: DataFrame, lang: str = "lang", text: str = "text", max_rows: int = 100_000, **options) -> CharModels:
-    """Models from a table of verified sentences; the fit is bounded by max_rows sentences, the first by (language, text)."""
-    rows = samples.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text).orderBy(lang, text).limit(max_rows).collect()
-    return train([(r[0], r[1]) for r in rows], **options)
+def verified_sentences(samples: DataFrame, lang: str = "lang", text: str = "text", max_rows: int = 100_000) -> list[tuple[str, str]]:
+    """(language, sentence) pairs for a fit, max_rows at most; each language has an equal part, drawn by the hash of the sentence."""
+    rows = samples.where(F.col(lang).isNotNull() & (F.col(text) != "")).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    kinds = rows.select("l").distinct().count()
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
+    drawn = rows.withColumn("p", place).where(F.col("p") <= max(1, max_rows // max(1, kinds))).select("l", "t").collect()
+    return sorted((r[0], r[1]) for r in drawn)
 
 
 def clear_words(documents: DataFrame, models: CharModels, text: str = "text", sure_bits: float = 20.0, main_share: float = 0.7, min_letters: int = 20) -> DataFrame:
@@ -323,8 +356,9 @@ def clear_words(documents: DataFrame, models: CharModels, text: str = "text", su
             lists, owner = [], []
             for d, raw in enumerate(batch["text"]):
                 plain = plain_text(raw)
+                letters_in = _letters(last_plane(plain)).findall
                 for b, e in sentences(plain):
-                    lists.append(_letters().findall(plain[b:e]))
+                    lists.append(letters_in(plain[b:e]))
                     owner.append(d)
             if not lists or L < 2:
                 continue
@@ -356,59 +390,42 @@ def gram_counts(words: DataFrame, order: int) -> DataFrame:
     return words.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def adapted(
-    models: CharModels, samples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_text: str = "text", max_documents: int | None = None,
-    sure_bits: float = 20.0, main_share: float = 0.7, min_letters: int = 20,
-) -> CharModels:
-    """Models trained once more, with the words of the corpus: verified sentences plus the clear sentences of all documents.
+def corpus_models(samples: DataFrame, documents: DataFrame, text: str = "text", lang: str = "lang", sample_text: str = "text", max_rows: int = 100_000, **options) -> CharModels:
+    """Models of verified sentences and of the clear sentences of all documents.
 
     The n-grams of the clear sentences are counted where the documents are; only their
-    sums come to the driver.  Labels are not read.  max_documents, for trials only,
-    takes about so many documents by the hash of their id.  The rejection bounds stay
-    those of the verified sentences.
+    sums, bounded by the languages' n-grams, come to the driver.  Labels are not read.
+    Bounds and temperature stay those of the cross-validation, whose held-out sentences
+    have words that the models do not know; with the corpus counted in, the verified
+    sentences know no such words any more and would give bounds of a third, which
+    refuse every sentence with words of its own.
     """
-    if max_documents is not None:
-        every = max(1, documents.count() // max_documents)
-        documents = documents.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(every)) == 0)
-    found: dict[str, Counter] = defaultdict(Counter)
-    grams = gram_counts(clear_words(documents, models, text, sure_bits, main_share, min_letters), models.order).toArrow()
+    verified = verified_sentences(samples, lang, sample_text, max_rows)
+    first = train(verified, **options)
+    more: dict[str, Counter] = defaultdict(Counter)
+    grams = gram_counts(clear_words(documents, first, text), first.order).toArrow()
     for l, g, n in zip(*(grams[c].to_pylist() for c in ("lang", "gram", "n"))):
-        found[l][g] = n
-    verified = samples.where(F.col(lang).isin(models.languages) & F.col(sample_text).isNotNull()).select(lang, sample_text).orderBy(lang, sample_text).limit(100_000).collect()
+        more[l][g] = n
     by: dict[str, list[str]] = defaultdict(list)
-    for r in verified:
-        by[r[0]].append(r[1])
-    again = _fit(models.languages, by, models.order, 0.75, found)
-    again.bound = models.bound
+    for l, t in verified:
+        by[l].append(t)
+    again = _fit(first.languages, by, first.order, options.get("discount", 0.75), more)
+    again.bound, again.temperature = first.bound, first.temperature
     return again
 
 
-def _with_prior(scores: np.ndarray, owner: np.ndarray, enough: np.ndarray, documents: int, sure_bits: float) -> np.ndarray:
-    """Scores in which a language costs sure_bits more in documents that have clear sentences, but none in it.
-
-    A clear sentence is one whose best language leads by sure_bits; so a language
-    enters a document that has others on a clear sentence only.
-    """
-    order = np.sort(scores, 1)
-    clear = enough & (order[:, 1] - order[:, 0] >= sure_bits) if scores.shape[1] > 1 else enough
-    L = scores.shape[1]
-    present = np.bincount(owner[clear] * L + scores[clear].argmin(1), minlength=documents * L).reshape(documents, L) > 0
-    return scores + np.where(present.any(1, keepdims=True) & ~present, sure_bits, 0.0)[owner]
-
-
-def segment_languages(
-    documents: DataFrame, models: CharModels, doc_id: str = "doc_id", text: str = "text", label: str | None = None, min_letters: int = 8, sure_bits: float = 20.0
-) -> DataFrame:
+def segment_languages(documents: DataFrame, models: CharModels, doc_id: str = "doc_id", text: str = "text", label: str | None = None, clear_bits: float = 8.0) -> DataFrame:
     """A row for each sentence of each document: (doc_id, segment, begin, end, lang, confidence, letters, whole, named).
 
-    lang is null where a stretch has too few letters for a language (formulas,
-    numbers, answer keys) or where no language's model accepts it.  confidence is the
-    language's share of the posterior; languages of which the document has no clear
-    sentence need sure_bits more evidence.  whole tells that the stretch ends like a sentence (not by dots of
-    omission); named lists the languages that the document's label names.  Defined
-    results: null and empty texts have no rows; a null or placeholder label names
-    nothing; texts may have any length; begin and end count characters of the text
-    in composed, plain form.  No shuffle: each document is cut and scored in place.
+    lang is the language of the lowest cross-entropy; it is null where that is above
+    the language's bound or where the next language needs less than clear_bits more
+    (formulas, numbers, answer keys and single short words, whatever their length).
+    confidence is the language's calibrated probability, 0 where lang is null.  whole
+    tells that the stretch ends like a sentence (not by dots of omission); named lists
+    the languages that the document's label names.  Defined results: null and empty
+    texts have no rows; a null or placeholder label names nothing; texts may have any
+    length; begin and end count characters of the text in composed, plain form.  No
+    shuffle: each document is cut and scored in place.
     """
     shared = documents.sparkSession.sparkContext.broadcast(models)
     schema = f"{doc_id} {dict(documents.dtypes)[doc_id]}, segment int, begin int, end int, lang string, confidence double, letters int, whole boolean, named array<string>"
@@ -421,25 +438,26 @@ def segment_languages(
             owner, number, begin, end, lists, stops = [], [], [], [], [], []
             for d, raw in enumerate(batch["text"]):
                 plain = plain_text(raw)
+                letters_in = _letters(last_plane(plain)).findall
                 for k, (b, e) in enumerate(sentences(plain)):
                     piece = plain[b:e]
                     last = piece.rstrip("\"'»”’)]」』） ")
                     owner.append(d), number.append(k), begin.append(b), end.append(e)
-                    lists.append(_letters().findall(piece))
+                    lists.append(letters_in(piece))
                     stops.append(last[-1:] in SENTENCE_END[:-1] and not last.endswith("...") and last != "")
             if not owner:
                 continue
             at = np.array(owner)
             scores, signs = _score_lists(m, lists)
             letters = signs - np.array([len(x) for x in lists])
-            full = _with_prior(scores, at, letters >= min_letters, len(batch), sure_bits)
-            best = full.argmin(1)
+            best = scores.argmin(1)
             row = np.arange(len(best))
-            share = 1 / np.exp2(np.clip(full[row, best][:, None] - full, -60, 0)).sum(1)
-            ok = (letters >= min_letters) & (scores[row, best] <= m.bound[best] * np.maximum(signs, 1))
+            low = scores[row, best]
+            clear = np.partition(scores, 1, 1)[:, 1] - low >= clear_bits if scores.shape[1] > 1 else letters > 0
+            ok = clear & (low <= m.bound[best] * np.maximum(signs, 1))
             yield pd.DataFrame({
                 doc_id: ids[at], "segment": np.array(number, np.int32), "begin": np.array(begin, np.int32), "end": np.array(end, np.int32), "lang": names[np.where(ok, best, len(m.languages))],
-                "confidence": np.where(ok, share, 0.0), "letters": letters.astype(np.int32), "whole": np.array(stops, bool), "named": [labels[d] for d in owner],
+                "confidence": np.where(ok, posterior(scores, m.temperature)[row, best], 0.0), "letters": letters.astype(np.int32), "whole": np.array(stops, bool), "named": [labels[d] for d in owner],
             })
 
     source = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), (F.col(label) if label else F.lit(None)).cast("string").alias("label"))

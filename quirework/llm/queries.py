@@ -87,8 +87,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     samples, documents = table(spark, folder, "lang_samples"), table(spark, folder, "documents")
-    models = languages.adapted(languages.fitted(samples), samples, documents)
-    return languages.segment_languages(documents, models, label="lang")
+    return languages.segment_languages(documents, languages.corpus_models(samples, documents), label="lang")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -126,17 +126,6 @@ def test_documents(spark, models):
     assert main[9]["lang"] == "ko" and main[9]["confidence"] > 0.99 and main[2]["languages"] == ["en", "es"] and 3 not in main
 
 
-def test_adapted_models(spark, samples, models):
-    df = spark.createDataFrame(samples, "lang string, text string")
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    m = L.adapted(models, df, docs, max_documents=50)
-    scores, _ = L.score_texts(m, [t for _, t in samples])
-    assert np.mean([m.languages[k] == l for k, (l, _) in zip(scores.argmin(1), samples)]) == 1.0
-    assert (m.bound == models.bound).all() and len(m.keys[3]) > len(models.keys[3])
-    empty = L.adapted(models, df, docs.limit(0))
-    assert np.allclose(L.score_words(empty, ["the", "der"]), L.score_words(models, ["the", "der"]))
-
-
 def test_a_fragment_brings_no_language(spark, models):
     en = "The left page contains 349 entries, while the number line contains only 7. "
     seg = rows_of(spark, models, [(1, en * 3 + "\n\nde Skanolgar.", "en")])
@@ -152,16 +141,97 @@ def test_empty(spark, models):
     assert L.unnamed_languages(rows_of(spark, models, [])).count() == 0
 
 
-def test_every_document_adapts_the_models(spark, samples, models):
+FOREIGN = """Il gatto dorme sul divano mentre la bambina legge un libro.
+La scuola si trova vicino alla piazza principale della città.
+Non so perché il treno sia arrivato con due ore di ritardo.
+El gat dorm al sofà mentre la nena llegeix un llibre.
+Demà anirem al mercat per comprar pa i fruita.
+L'escola es troba a prop de la plaça principal de la ciutat.
+Aquesta pàgina conté una taula amb tots els resultats de l'exercici.
+De kat slaapt op de bank terwijl het meisje een boek leest.
+Morgen gaan we naar de markt om brood en fruit te kopen.
+Katten sover på soffan medan flickan läser en bok.
+Kot śpi na kanapie, a dziewczynka czyta książkę.
+Jutro pójdziemy na targ, żeby kupić chleb i owoce.
+Kedi kanepede uyurken kız kitap okuyor.
+Kissa nukkuu sohvalla, kun tyttö lukee kirjaa.
+Pisica doarme pe canapea în timp ce fetița citește o carte.
+Con mèo ngủ trên ghế trong khi cô bé đọc sách."""
+
+
+def test_languages_without_a_model_are_rejected(spark, models):
+    """At least eight of ten sentences of Latin-script languages that have no model."""
+    seg = rows_of(spark, models, [(k, t, None) for k, t in enumerate(FOREIGN.splitlines())]).collect()
+    assert np.mean([r["lang"] is None for r in seg]) >= 0.8
+
+
+def test_confidence_is_calibrated(samples):
+    """Over held-out pieces of two to eight words, the mean confidence is near the share that is right."""
+    by = {}
+    for l, t in samples:
+        by.setdefault(l, []).append(t)
+    m = L.train([(l, t) for l, ts in by.items() for k, t in enumerate(ts) if k % 4])
+    pieces = [(l, " ".join(w[a : a + n])) for l, ts in by.items() for k, t in enumerate(ts) if k % 4 == 0 for w in [t.split()] for n in (2, 4, 8) for a in range(0, max(1, len(w) - n + 1), n)]
+    bits, signs = L.score_texts(m, [t for _, t in pieces])
+    p, right = L.posterior(bits, m.temperature), np.array([m.languages.index(l) for l, _ in pieces])
+    some = signs > 0
+    assert abs(p.max(1)[some].mean() - (p.argmax(1) == right)[some].mean()) < 0.05
+
+
+def test_a_bounded_fit_keeps_every_language(spark, samples):
+    drawn = L.verified_sentences(spark.createDataFrame(samples, "lang string, text string"), max_rows=120)
+    assert len({l for l, _ in drawn}) == 8 and len(drawn) <= 120
+    assert L.verified_sentences(spark.createDataFrame([("xx", "ein Wort"), (None, "y"), ("yy", None)], "lang string, text string")) == [("xx", "ein Wort")]
+
+
+@pytest.fixture(scope="module")
+def adapted(spark, samples):
+    return L.corpus_models(spark.createDataFrame(samples, "lang string, text string"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_corpus_models(spark, samples, models, adapted):
+    scores, _ = L.score_texts(adapted, [t for _, t in samples])
+    assert np.mean([adapted.languages[k] == l for k, (l, _) in zip(scores.argmin(1), samples)]) == 1.0
+    assert len(adapted.keys[3]) > len(models.keys[3])
+    df = spark.createDataFrame(samples, "lang string, text string")
+    empty = L.corpus_models(df, spark.createDataFrame([], "doc_id long, text string"))
+    assert np.allclose(L.score_words(empty, ["the", "der"]), L.score_words(models, ["the", "der"]))
+
+
+def test_short_sentences_have_a_language(spark, adapted):
+    """Length does not decide: a sentence of eight letters of known words is accepted."""
+    got = rows_of(spark, adapted, [(1, "This is it.", None), (2, "x = 3.", None)]).orderBy("doc_id").collect()
+    assert [r["lang"] for r in got] == ["en", None]
+
+
+def test_foreign_sentences_are_rejected_by_corpus_models(spark, adapted):
+    seg = rows_of(spark, adapted, [(k, t, None) for k, t in enumerate(FOREIGN.splitlines())]).collect()
+    assert np.mean([r["lang"] is None for r in seg]) >= 0.8
+
+
+def test_mixed_documents_with_known_segments(spark, samples, adapted):
+    """Documents put together from sentences of two languages: nearly every segment has its language."""
+    by = {}
+    for l, t in samples:
+        by.setdefault(l, []).append(t)
+    docs, truth = [], []
+    for k in range(64):
+        a, b = [sorted(by)[(k + d) % 8] for d in (0, 1 + k % 7)]
+        parts = [(a, by[a][k % 40]), (b, by[b][(k + 7) % 40]), (a, by[a][(k + 13) % 40])]
+        docs.append((k, "\n\n".join(t for _, t in parts), None))
+        truth.append([l for l, _ in parts])
+    got = {}
+    for r in rows_of(spark, adapted, docs).orderBy("doc_id", "segment").collect():
+        got.setdefault(r["doc_id"], []).append((r["begin"], r["lang"]))
+    right = sum({l for _, l in got[k]} - {None} == set(want) for k, want in enumerate(truth))
+    assert right >= 61
+
+
+def test_every_document_counts(spark, models):
     """Words of a language found in 12 of 4,500 documents are all learnt, and none of 4,488 sentences of one language is left out."""
     en, de = "The left page contains 349 entries, while the number line contains only 7 {}.", "Die linke Seite enthält mehrere Einträge, während die Zeile nur eine Zahl und das Wort {} enthält."
     made = lambda k: "".join("bdfgklmnpr"[int(x)] + "ö" for x in f"{k:04d}")
     docs = spark.createDataFrame([(k, de.format(made(k)) if k % 375 == 0 else en.format("entries")) for k in range(4500)], "doc_id long, text string").repartition(5)
     words = {(r["lang"], r["word"]): r["n"] for r in L.clear_words(docs, models).collect()}
     assert words["en", "contains"] == 2 * 4488 and words["de", "zeile"] == 12
-    m = L.adapted(models, spark.createDataFrame(samples, "lang string, text string"), docs)
-    for k in range(0, 4500, 375):
-        word = made(k)
-        grams = L._keys([word[i : i + 5] for i in range(len(word) - 4)])
-        at = np.searchsorted(m.keys[4], grams)
-        assert (m.keys[4][np.minimum(at, len(m.keys[4]) - 1)] == grams).all() and (m.gain[4][at, m.languages.index("de")] > 0).all()
+    assert all(words["de", made(k)] == 1 for k in range(0, 4500, 375))
