@@ -36,7 +36,7 @@ def p4_page_sides(spark: SparkSession, folder: str) -> DataFrame:
 
 _GROUPS = """
 WITH RECURSIVE base AS (
-  SELECT delivery_row_id AS r, outbox_id AS o, scan_session_id AS s, lower(trim(idempotency_key, E' \\t\\n\\r\\f\\x0b')) AS k, attempt_count AS a
+  SELECT delivery_row_id AS r, outbox_id AS o, scan_session_id AS s, lower(trim(idempotency_key, E' \\t\\n\\r\\f\\x0b' || chr(160) || chr(12288))) AS k, attempt_count AS a
   FROM delivery_outbox),
 ties AS (
   SELECT r, min(r) OVER (PARTITION BY o) AS m FROM base WHERE o IS NOT NULL

@@ -75,3 +75,27 @@ def test_empty_and_kept(spark):
 def test_single_identifier(spark):
     df = spark.createDataFrame([(1, "a", "s", "k", 1, "x"), (2, "a", "t", "j", 2, "x")], SCHEMA)
     assert [r[0] for r in messages.surplus_copies(df, "delivery_row_id", [["outbox_id"]], ["attempt_count"]).collect()] == [1]
+
+
+def test_batches_together_or_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, *(f"o{k}" for k in range(80))]), f"s{rng.randrange(3)}", rng.choice([None, *(f" K{k}\u00a0" if k % 3 else f"k{k}" for k in range(80))]), rng.choice([None, 0, 1, 2]), "x") for i in range(180)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = [df.where(f"delivery_row_id % 3 = {k}") for k in range(3)]
+    options = ("delivery_row_id", messages.outbox_identifiers(), ["attempt_count"])
+    want = {r[0] for r in rows} - brute(rows)
+    together = {r[0] for r in messages.one_copy_each(df, *options).collect()}
+    by_two = messages.one_copy_of_all(parts[0].union(parts[1]), parts[2].drop("status"), *options)
+    first = {r[0] for r in messages.one_copy_of_all(parts[0], parts[1], *options).collect()}
+    assert together == want == {r[0] for r in by_two.collect()}
+    assert first == {r[0] for r in rows if r[0] % 3 < 2} - brute([r for r in rows if r[0] % 3 < 2])
+    plan = messages.one_copy_each(df, *options)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")
+
+
+def test_many_singletons_pass_the_filter(spark):
+    """A small filter, full of bits, sends singletons the longer way and loses none."""
+    rows = [(i, f"o{i if i > 20_000 else i // 2}", "s", f"k{i}", 1, "x") for i in range(30_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = {r[0] for r in messages.one_copy_each(df, "delivery_row_id", messages.outbox_identifiers(), ["attempt_count"], power=15).collect()}
+    assert kept == {r[0] for r in rows} - brute(rows)
