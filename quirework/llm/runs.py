@@ -1,14 +1,16 @@
 """Repeated consecutive events: one row per run.
 
 The events are range-sorted into chunks by sequence and position, so a sequence
-of any length spreads over many tasks.  Each chunk encodes its runs locally; a
-run's summary is associative, so only the first and the last run of each chunk
-still have to be merged with those of its neighbours.
+of any length spreads over many tasks.  Each chunk encodes its runs locally; merging
+two neighbouring stretches is associative, so the first and the last run of each
+chunk are merged in a tree: a round joins `fan` neighbouring stretches to one, whose
+own first and last run go on to the next round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -120,20 +122,35 @@ def _chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _fold(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
-    """Merge a sequence's edge runs in order; there are at most two for each chunk it touches."""
-    rows = edges.sort_values(["first", "last"]).astype(object).where(edges.sort_values(["first", "last"]).notna(), None).to_dict("records")
+    """Merge the edge runs of neighbouring stretches in order; only the first and the last run of the result stay open."""
+    edges = edges.sort_values(["seq", "first", "last"])
+    rows = edges.astype(object).where(edges.notna(), None).to_dict("records")
     out: list[dict] = []
     for r in rows:
         out = out[:-1] + merge_runs(out[-1], r) if out else [r]
-    return _frame(out)
+    return _frame(_closed(out, True, True)).assign(chunk=key[0])
 
 
-def collapse_runs(events: DataFrame, sequence: Column | str, position: Column | str, label: Column, context: Column | None = None, time: Column | None = None) -> DataFrame:
+def merged_edges(edges: DataFrame, chunks: int, fan: int) -> DataFrame:
+    """Edge runs of numbered chunks merged over all chunks: a tree of ceil(log(chunks) / log(fan)) rounds, in which no task sees more than 2 * fan runs of one stretch."""
+    done = []
+    while True:
+        edges = edges.withColumn("chunk", F.expr(f"chunk div {fan}")).groupBy("chunk").applyInPandas(_fold, f"{_SCHEMA}, chunk long")
+        chunks = -(-chunks // fan)
+        if chunks <= 1:
+            return reduce(DataFrame.unionByName, [*done, edges.drop("chunk")])
+        edges = cut_lineage(edges)
+        done.append(edges.where("not (open_left or open_right)").drop("chunk"))
+        edges = edges.where("open_left or open_right")
+
+
+def collapse_runs(events: DataFrame, sequence: Column | str, position: Column | str, label: Column, context: Column | None = None, time: Column | None = None, fan: int = 64) -> DataFrame:
     """One row per run: sequence, label, context, first_position, last_position, events, duration_s, first_time, last_time.
 
     An event joins the run before it in its sequence if its label is the same and
     its context is not another than the run's; a null context joins any.  Events
-    at one position count once (the smallest label and context of them).  Defined
+    at one position count once: the one with the smallest label, context and time
+    stays, whole, and a known value goes before a null.  Defined
     results: rows with a null sequence or position belong to no sequence and are
     left out; a null label is like no other and runs alone; without time, or with
     null times, the duration is null; an empty input gives no rows.
@@ -146,13 +163,15 @@ def collapse_runs(events: DataFrame, sequence: Column | str, position: Column |
         (F.unix_micros(time.cast("timestamp")) if time is not None else F.lit(None)).cast("double").alias("t"),
     ).where("seq is not null and pos is not null")
     # Redelivered events are combined before the shuffle, so one repeated a million times costs one row a task.
-    once = events.groupBy("seq", "pos").agg(F.min("label").alias("label"), F.min("context").alias("context"), F.min("t").alias("t"))
+    rank = F.struct(*[part for c in ("label", "context", "t") for part in (F.col(c).isNull().alias(f"{c}_none"), F.col(c))])
+    once = events.groupBy("seq", "pos").agg(F.min(rank).alias("e")).select("seq", "pos", "e.label", "e.context", "e.t")
     chunks = once.repartitionByRange("seq", "pos").sortWithinPartitions("seq", "pos")
-    runs = chunks.select("seq", "pos", "label", "context", "t").mapInPandas(_chunk, _SCHEMA)
-    # Written once, so that the edge runs and the finished ones come from the same chunks.  Edge runs are few: two a chunk.
+    # Tasks of a range partitioning are numbered in its order.  Written once, so that edge runs and finished ones come from the same chunks.
+    runs = chunks.mapInPandas(_chunk, _SCHEMA).withColumn("chunk", F.spark_partition_id().cast("long"))
     tagged = cut_lineage(runs.withColumn("edge", F.col("open_left") | F.col("open_right")))
-    merged = tagged.where("edge").drop("edge").groupBy("seq").applyInPandas(_fold, _SCHEMA)
-    return tagged.where("not edge").drop("edge").unionByName(merged).select(
+    last = tagged.where("edge").agg(F.max("chunk")).first()[0]
+    merged = merged_edges(tagged.where("edge").drop("edge"), (last or 0) + 1, fan)
+    return tagged.where("not edge").drop("edge", "chunk").unionByName(merged).select(
         F.col("seq").alias("sequence"), "label", "context", F.col("first").alias("first_position"), F.col("last").alias("last_position"), F.col("n").alias("events"),
         ((F.col("t_last") - F.col("t_first")) / 1e6).alias("duration_s"), F.timestamp_micros(F.col("t_first").cast("long")).alias("first_time"), F.timestamp_micros(F.col("t_last").cast("long")).alias("last_time"),
     )

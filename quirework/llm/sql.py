@@ -4,8 +4,10 @@ from quirework.llm.visual_text import LOOKALIKES
 
 _RUNS = """
 WITH frames AS (
-  SELECT recording_id, frame_index, min(lower(regexp_replace(label, '[^\\p{L}\\p{M}\\p{N}]', '', 'g'))) AS label, min(lower(page_spread)) AS spread, min(captured_at) AS t
-  FROM scanner_video_v3a2_temporal_labels WHERE recording_id IS NOT NULL AND frame_index IS NOT NULL GROUP BY 1, 2),
+  SELECT recording_id, frame_index, label, spread, t FROM (
+    SELECT *, row_number() OVER (PARTITION BY recording_id, frame_index ORDER BY label NULLS LAST, spread NULLS LAST, t NULLS LAST) AS n FROM (
+      SELECT recording_id, frame_index, lower(regexp_replace(label, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) AS label, lower(page_spread) AS spread, captured_at AS t
+      FROM scanner_video_v3a2_temporal_labels WHERE recording_id IS NOT NULL AND frame_index IS NOT NULL)) WHERE n = 1),
 blocks AS (
   SELECT *, sum(b) OVER (PARTITION BY recording_id ORDER BY frame_index) AS block
   FROM (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY recording_id ORDER BY frame_index) THEN 0 ELSE 1 END AS b FROM frames)),

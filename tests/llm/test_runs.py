@@ -13,10 +13,10 @@ def brute(rows):
     seen = {}
     for _, rec, frame, label, spread, at, _ in rows:
         if rec is not None and frame is not None:
-            l, s = seen.get((rec, frame), (None, None))
             n = "".join(c for c in label.lower() if c.isalnum()) if label is not None else None
             sp = spread.lower() if spread is not None else None
-            seen[rec, frame] = (min(filter(lambda x: x is not None, (l, n)), default=None), min(filter(lambda x: x is not None, (s, sp)), default=None))
+            rank = lambda e: (e[0] is None, e[0] or "", e[1] is None, e[1] or "")
+            seen[rec, frame] = min((n, sp), seen.get((rec, frame), (n, sp)), key=rank)
     out, run = [], None
     for (rec, frame), (label, spread) in sorted(seen.items()):
         if run and run[0] == rec and label is not None and run[3] == label and (spread is None or run[4] is None or spread == run[4]):
@@ -27,9 +27,9 @@ def brute(rows):
     return sorted((r[0], r[1], r[2], r[5]) for r in out)
 
 
-def collapsed(spark, rows, parts=1):
+def collapsed(spark, rows, parts=1, **options):
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
-    got = runs.collapse_runs(df, "rec", "frame", runs.plain_label("label"), F.lower("spread"), F.col("at"))
+    got = runs.collapse_runs(df, "rec", "frame", runs.plain_label("label"), F.lower("spread"), F.col("at"), **options)
     return sorted((r["sequence"], r["first_position"], r["last_position"], r["events"]) for r in got.collect())
 
 
@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
     try:
         for seed, recs in ((1, ["r"]), (2, ["r", "s", None]), (3, [f"r{k}" for k in range(40)])):
             rows = make(400, recs, seed)
-            assert collapsed(spark, rows, 3) == brute(rows)
+            assert collapsed(spark, rows, 3) == brute(rows) == collapsed(spark, rows, 3, fan=2)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
@@ -64,6 +64,25 @@ def test_one_long_run_over_all_chunks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_many_chunks_in_a_tree(spark):
+    """One sequence over 300 chunks, merged in three rounds."""
+    rows = make(3000, ["r"], 9, nulls=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        assert collapsed(spark, rows, 2, fan=8) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_one_event_stays_whole(spark):
+    t = datetime(2026, 1, 1)
+    rows = [(1, "r", 1, "b", "left", t, "x"), (2, "r", 1, "a", "right", t, "x"), (3, "r", 2, "a", None, t, "x"), (4, "r", 2, None, "left", t, "x")]
+    got = runs.collapse_runs(spark.createDataFrame(rows, SCHEMA), "rec", "frame", runs.plain_label("label"), F.lower("spread"), F.col("at")).collect()
+    assert [(r["label"], r["context"], r["events"]) for r in got] == [("a", "right", 2)]
+
+
 def test_merge_is_associative():
     rng = random.Random(4)
 
