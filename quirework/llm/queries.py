@@ -16,6 +16,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return visual_text.look_alike_pairs(table(spark, folder, PADDLE), "candidate_id", "combined_recognized_text", "scan_session_id")
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate with the class of texts of its session that look like its own."""
+    return visual_text.look_classes(table(spark, folder, PADDLE), "candidate_id", "combined_recognized_text", "scan_session_id")
+
+
 def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate's text in one consistent form."""
     return visual_text.consistent_text(table(spark, folder, PADDLE), "candidate_id", "combined_recognized_text")
@@ -105,5 +110,5 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).drop("named")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_classes, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
 SQL = sql.SQL

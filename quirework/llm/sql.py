@@ -30,8 +30,12 @@ _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 _BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 _FROM, _TO = "".join(a for a, _ in LOOKALIKES), "".join(b for _, b in LOOKALIKES)
+_SHOWN = "replace(combined_recognized_text, chr(173) || chr(10), '-' || chr(10))"
+# Ligatures and Roman numerals with the letters they show.
+for _sign, _letters in zip("ﬀ ﬁ ﬂ ﬃ ﬄ Ⅰ Ⅱ Ⅲ Ⅳ Ⅴ Ⅵ Ⅶ Ⅷ Ⅸ Ⅹ Ⅺ Ⅻ ⅰ ⅱ ⅲ ⅳ ⅴ ⅵ ⅶ ⅷ ⅸ ⅹ ⅺ ⅻ ⅼ ⅽ ⅾ ⅿ".split(), "ff fi fl ffi ffl I II III IV V VI VII VIII IX X XI XII i ii iii iv v vi vii viii ix x xi xii l c d m".split()):
+    _SHOWN = f"replace({_SHOWN}, '{_sign}', '{_letters}')"
 _CANON = (
-    "nfc_normalize(translate(replace(combined_recognized_text, chr(173) || chr(10), '-' || chr(10)), "
+    f"nfc_normalize(translate({_SHOWN}, "
     f"{_quoted(_FROM + _WIDE + _BLANKS + _INVISIBLE)}, {_quoted(_TO + _PLAIN + ' ' * len(_BLANKS))}))"
 )
 _PADDLE = "paddleocr_split_ocr_reconciliation_summary_p102"
@@ -52,6 +56,10 @@ SQL = {
     "p6_report": _LEAKS + """SELECT e.item_id, coalesce(n, 0) AS documents, coalesce(m, 0) AS most_passages FROM eval_items e
 LEFT JOIN (SELECT item_id, count(*) AS n, max(passages) AS m FROM leaks GROUP BY 1) USING (item_id)""",
     "p2_canonical": f"SELECT candidate_id, {_CANON} AS canonical_text FROM {_PADDLE}",
+    "p2_classes": f"""
+WITH c AS (SELECT candidate_id, scan_session_id AS s, combined_recognized_text AS t, {_CANON} AS look FROM {_PADDLE} WHERE scan_session_id IS NOT NULL AND combined_recognized_text IS NOT NULL),
+sp AS (SELECT *, min(candidate_id) OVER (PARTITION BY s, look, t) AS spelling_id, min(candidate_id) OVER (PARTITION BY s, look) AS class_id FROM c)
+SELECT candidate_id, sp.class_id, spelling_id, spellings FROM sp JOIN (SELECT class_id, count(DISTINCT spelling_id) AS spellings FROM sp GROUP BY 1) k ON sp.class_id = k.class_id""",
     "p2_found": f"""
 WITH c AS (SELECT candidate_id, scan_session_id AS s, combined_recognized_text AS t, {_CANON} AS look FROM {_PADDLE})
 SELECT a.candidate_id AS candidate_id_a, b.candidate_id AS candidate_id_b FROM c a JOIN c b ON a.s = b.s AND a.look = b.look AND a.candidate_id < b.candidate_id WHERE a.t <> b.t""",

@@ -21,13 +21,20 @@ from quirework.session import cut_lineage
 LOOKALIKES = [
     ("АВЕКМНОРСТУХЅІЈԚԜ", "ABEKMHOPCTYXSIJQW"),  # Cyrillic capitals
     ("аеорсухѕіјԛԝһ", "aeopcyxsijqwh"),  # Cyrillic small letters
+    ("ӀҮԌѴ", "IYGV"),  # further Cyrillic capitals
+    ("ԁӏүѵ", "dlyv"),  # further Cyrillic small letters
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
-    ("οϲϳ", "ocj"),  # Greek small letters
+    ("οϲϳανρυιγ", "ocjavpuiy"),  # Greek small letters
+    ("ՕՏՍ", "OSU"),  # Armenian capitals
+    ("ոսօհ", "nuoh"),  # Armenian small letters
+    ("ɑɡıɩ", "agii"),  # Latin small letters of other alphabets
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"),  # Cherokee
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),  # Lisu
     ("‐‑−﹣", "----"),  # hyphens and minus
     ("‧⋅・•∙", "·····"),  # middle dots
     ("∶∼ʼ′", ":~’’"),  # ratio, tilde operator, apostrophes
 ]
-#: Compatibility forms that look like their plain characters; circled, super- and subscript forms do not.
+#: Compatibility forms that look like their plain characters; circled, super- and subscript forms do not.  Ligatures and Roman numerals look like their Latin letters.
 LIKE_PLAIN = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 SOFT_HYPHEN = "\u00ad"
 #: Characters that are their own consistent form (a test holds this against the tables), as the inside of a Java class.
@@ -57,7 +64,9 @@ def parts_of(ch: str) -> tuple[str, ...]:
         return (_lookalike().get(ch, ch),)
     steps = rule.split()
     if steps[0].startswith("<"):
-        if steps[0] not in LIKE_PLAIN:
+        drawn = [chr(int(x, 16)) for x in steps[1:]]
+        letters = steps[0] == "<compat>" and all(c.isascii() and c.isalpha() for c in drawn) and (category == "Nl" or category.startswith("L") and len(drawn) > 1)
+        if steps[0] not in LIKE_PLAIN and not letters:
             return (_lookalike().get(ch, ch),)
         steps = steps[1:]
     return tuple(p for s in steps for p in parts_of(chr(int(s, 16))))
@@ -223,21 +232,43 @@ def consistent_text(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return plain.unionByName(rebuilt.select(F.col("__id").alias(row_id), "canonical_text"))
 
 
-def look_alike_pairs(rows: DataFrame, row_id: str, text: str, within: str) -> DataFrame:
-    """(row_id_a, row_id_b), a < b: rows of one `within` group whose texts look the same but differ in characters.
+def _looks(rows: DataFrame, row_id: str, text: str, within: str) -> DataFrame:
+    """(__id, __look, __spelling): digests of each row's look within its group and of its spelling; rows with a null text or group have none.
 
-    Distinct spellings are paired first, then rows are looked up for each spelling,
-    so identical copies are never compared with one another.  Rows with a null text
-    or a null group are in no pair.
+    Written once: the texts are brought to their form a single time however often the keys are read.
     """
     canon = consistent_text(rows, row_id, text).withColumnRenamed(row_id, "__cid")
-    # Three digests a row, written once: the texts are brought to their form a single time however often the keys are read.
-    keyed = cut_lineage(
+    return cut_lineage(
         rows.where(F.col(within).isNotNull() & F.col(text).isNotNull())
         .select(F.col(row_id).alias("__id"), F.col(within).alias("__g"), F.sha2(text, 256).alias("__spelling"))
         .join(canon, F.col("__id") == F.col("__cid"))
         .select("__id", F.sha2(F.to_json(F.struct("__g", "canonical_text")), 256).alias("__look"), "__spelling")
     )
+
+
+def look_classes(rows: DataFrame, row_id: str, text: str, within: str) -> DataFrame:
+    """(row_id, class_id, spelling_id, spellings) of every row with a text and a group.
+
+    Rows of one `within` group whose texts look the same share a class, named by its
+    smallest row id; rows with the same character sequence share a spelling_id, the
+    smallest row id with it; spellings counts the class's spellings.  One row a row,
+    however many rows look alike.
+    """
+    keyed = _looks(rows, row_id, text, within)
+    spellings = keyed.groupBy("__look", "__spelling").agg(F.min("__id").alias("spelling_id"))
+    classes = spellings.groupBy("__look").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("spellings"))
+    return keyed.join(spellings, ["__look", "__spelling"]).join(classes, "__look").select(F.col("__id").alias(row_id), "class_id", "spelling_id", "spellings")
+
+
+def look_alike_pairs(rows: DataFrame, row_id: str, text: str, within: str) -> DataFrame:
+    """(row_id_a, row_id_b), a < b: rows of one `within` group whose texts look the same but differ in characters.
+
+    Distinct spellings are paired first, then rows are looked up for each spelling,
+    so identical copies are never compared with one another.  Rows with a null text
+    or a null group are in no pair.  The result holds every pair, so it grows with the
+    square of a look's copies; look_classes says the same in one row a row.
+    """
+    keyed = _looks(rows, row_id, text, within)
     spellings = keyed.groupBy("__look", "__spelling").agg(F.count("*").alias("__n"))
     several = spellings.groupBy("__look").agg(F.count("*").alias("__v")).where("__v > 1").select(F.col("__look").alias("__k"))
     mine = keyed.join(several, F.col("__look") == F.col("__k"), "left_semi")

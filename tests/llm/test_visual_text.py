@@ -61,3 +61,28 @@ def test_hot_group_of_copies(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, g string, t string")
     assert v.look_alike_pairs(df, "id", "t", "g").count() == 0 and v.consistent_text(df, "id", "t").count() == 0
+
+
+def test_letters_agree_with_the_public_list_of_confusables(spark):
+    """Each letter and its look-alike have the same skeleton by Unicode's rules."""
+    checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+    pairs = [(a, b) for left, right in v.LOOKALIKES for a, b in zip(left, right, strict=True) if a.isalpha() and b.isalpha()]
+    # The list draws the small palochka as i and has no Cyrillic Q.
+    assert {(a, b) for a, b in pairs if checker.getSkeleton(a) != checker.getSkeleton(b)} == {("ӏ", "l"), ("Ԛ", "Q")}
+
+
+def test_more_look_alikes():
+    same = {"ıdea": "idea", "ﬁle": "file", "ﬃ": "ffi", "αβ": "aβ", "νρυ": "vpu", "ոսօ": "nuo", "ԁӏ": "dl", "ɑɡ": "ag", "ⅰⅼⅿ": "ilm", "Ⅻ": "XII", "ᎪᏴ": "AB", "ꓮꓐ": "AB"}
+    for a, b in same.items():
+        assert v.canonical(a) == v.canonical(b), a
+    for a, b in {"①": "1", "x²": "x2", "A": "a", "ſ": "s", "β": "b", "ß": "B", "½": "1/2"}.items():
+        assert v.canonical(a) != v.canonical(b), a
+
+
+def test_classes(spark):
+    rows = [(1, "s", "Step"), (2, "s", "Ѕtep"), (3, "s", "Ѕtep"), (4, "t", "Step"), (5, "s", "step"), (6, None, "Step"), (7, "s", None), (8, "s", ""), (9, "s", "​")]
+    df = spark.createDataFrame(rows, "i long, g string, t string").selectExpr("*", "'x' as class_id", "1 as __n")
+    got = {r["i"]: (r["class_id"], r["spelling_id"], r["spellings"]) for r in v.look_classes(df, "i", "t", "g").collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 2, 2), 3: (1, 2, 2), 4: (4, 4, 1), 5: (5, 5, 1), 8: (8, 8, 2), 9: (8, 9, 2)}
+    hot = spark.createDataFrame([(k, "s", "Step" if k % 2 else "Ѕtep") for k in range(2000)], "i long, g string, t string")
+    assert v.look_classes(hot, "i", "t", "g").count() == 2000
