@@ -3,9 +3,11 @@
 Running heads and page numbers are recognised line by line, words broken over a
 line end are joined if the corpus knows the joined word, and misread words are
 found against the corpus lexicon: a symmetric-delete index proposes words, an edit
-distance weighted by pairs of look-alike shapes keeps the plausible ones, and word
-frequency and the neighbouring words decide.  All statistics are aggregates over
-the whole corpus; texts are only cut in Python, never compared there.
+distance weighted by confusion pairs ranks them, and word frequency and the
+neighbouring words decide.  A listed pair of look-alike shapes is cheap; any other
+edit costs more, less so if it explains several words of the corpus, and what it
+costs the frequency of the word and its neighbours must outweigh.  All statistics are
+aggregates over the whole corpus; texts are only cut in Python, never compared there.
 """
 
 from __future__ import annotations
@@ -59,9 +61,13 @@ def word_forms(word: str) -> set[str]:
     return {form, drawn}
 
 
-def delete_keys(word: str) -> list[str]:
-    """The word's forms and every form with one sign left out."""
-    return sorted({key for form in word_forms(word) for key in (form, *(form[:k] + form[k + 1 :] for k in range(len(form))))})
+def delete_keys(word: str, deletes: int = 1) -> list[str]:
+    """The word's forms and every form with up to `deletes` signs left out."""
+    found = last = word_forms(word)
+    for _ in range(deletes):
+        last = {form[:k] + form[k + 1 :] for form in last for k in range(len(form))}
+        found = found | last
+    return sorted(found)
 
 
 def shape_distance(a: str, b: str, pair_cost: float = 0.4) -> float:
@@ -173,9 +179,14 @@ def _tokenised(batches: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[
         yield pd.DataFrame(out, columns=names)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _keys_of(words: pd.Series) -> pd.Series:
-    return words.map(delete_keys)
+def _keys_of(deletes: int):
+    """A pandas UDF: the keys of words."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keys(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: delete_keys(w, deletes))
+
+    return keys
 
 
 def edit_of(w: str, c: str) -> str:
@@ -195,25 +206,54 @@ def _judged(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"distance": pd.Series([shape_distance(x, y) for x, y in zip(a, b)], dtype="float64"), "edit": pd.Series([edit_of(x, y) for x, y in zip(a, b)], dtype=object)})
 
 
-def lookalike_words(suspects: DataFrame, lexicon: DataFrame, min_count: int, max_distance: float) -> DataFrame:
-    """(w, nw, c, nc, distance, edit): for suspect words the lexicon words that the symmetric-delete index proposes and the shape distance accepts."""
-    left = suspects.select("w", "n", F.explode(_keys_of("w")).alias("key"))
-    right = lexicon.where(F.col("n") >= min_count).select(F.col("w").alias("c"), F.col("n").alias("nc"), F.explode(_keys_of("w")).alias("key"))
-    pairs = left.join(right, "key").where("w <> c and nc >= 0.2 * n").select("w", F.col("n").alias("nw"), "c", "nc").distinct()
+def lookalike_words(suspects: DataFrame, lexicon: DataFrame, min_count: int, max_distance: float, deletes: int = 1, least_ratio: float = 0.2) -> DataFrame:
+    """(w, nw, c, nc, distance, edit): for suspect words the lexicon words, least_ratio times as frequent, that the symmetric-delete index proposes and the distance accepts."""
+    keys = _keys_of(deletes)
+    left = suspects.select("w", "n", F.explode(keys("w")).alias("key"))
+    right = lexicon.where(F.col("n") >= min_count).select(F.col("w").alias("c"), F.col("n").alias("nc"), F.explode(keys("w")).alias("key"))
+    pairs = left.join(right, "key").where(f"w <> c and nc >= {least_ratio} * n").select("w", F.col("n").alias("nw"), "c", "nc").distinct()
     # Marked as not to be repeated: the filter would otherwise be pushed below the distinct and judge every pair twice.
     return pairs.withColumn("j", _judged.asNondeterministic()("w", "c")).select("w", "nw", "c", "nc", "j.distance", "j.edit").where(F.col("distance") <= max_distance)
 
 
+def best_repair() -> Column:
+    """Aggregate: the word c of the smallest distance, then the most frequent (nc), then the alphabetically first."""
+    return F.min(F.struct("distance", (-F.col("nc")).alias("m"), F.col("c"))).getField("c")
+
+
+def unlisted_pairs(rare: DataFrame, lexicon: DataFrame, lawful: DataFrame, min_count: int, listed: float) -> DataFrame:
+    """(w, c, gain): rare words with lexicon words that differ from them in other edits than the listed pairs alone.
+
+    gain: by how much frequency, and the number of rare words that the same edit
+    explains, outweigh the distance; a word is repaired if its neighbours make up for
+    the rest, one of which must be a word.  One edit, or two in words of seven signs or
+    more; words with digits or of fewer than four Latin letters have none, nor are an
+    edit by which the language forms words or signs put before or after a whole word.
+    """
+    pairs = lookalike_words(rare, lexicon, min_count, 2.0, 2, 4.0).where(F.col("distance") > listed)
+    hangul = F.col("w").rlike("[가-힣]")
+    pairs = pairs.where(F.expr(r"not w rlike '[0-9]'") & (hangul | (F.char_length("w") >= 4)))
+    pairs = pairs.where((F.col("distance") <= 1.0) | (~hangul & (F.char_length("w") >= 7)))
+    affix = F.expr("startswith(w, c) or startswith(c, w) or endswith(w, c) or endswith(c, w)")
+    pairs = pairs.where(~affix).join(lawful, "edit", "left_anti")
+    support = pairs.groupBy("edit").agg(F.count_distinct("w").alias("support"))
+    gain = F.col("nc") / F.greatest("nw", F.lit(1)) * F.col("support") / F.pow(F.lit(10.0), 1.2 * (F.col("distance") - 0.4))
+    return pairs.join(support, "edit").select("w", "c", gain.alias("gain"))
+
+
 class ScanNoise:
     """The noise of a corpus of scanned texts; each part is a DataFrame over all rows.
 
     rows: one text a row; row_id unique and not null, page like 'p085' or null.
-    hints: optional (row_id, confidence) of rows whose recognition was uncertain;
-    they need less evidence from the neighbouring words.  A word is misread if a
+    hints: optional (row_id, confidence) of rows whose recognition was uncertain; up to
+    a confidence of 0.5 (or null) they need hinted_odds from the neighbouring words,
+    at 1 context_odds, and in between in proportion.  A word is misread if a
     lexicon word at shape distance max_distance or less is far more frequent
     (rare_share) and the edit between them is not one by which the language forms
-    words (language_share) or its word is certain_ratio times as frequent, or if its neighbours prefer that word by the factor
-    context_odds.
+    words (language_share) or its word is certain_ratio times as frequent, or if its
+    neighbours prefer that word by the factor context_odds.  A word of at most `rare`
+    occurrences that no listed pair explains may differ in other edits, if frequency
+    and neighbours outweigh them (unlisted_pairs).
     Texts that look the same count once in the statistics.  Defined results: null
     and empty texts have no noise; ties between repairs go to the smaller distance,
     the more frequent and the alphabetically first word.
@@ -221,7 +261,7 @@ class ScanNoise:
 
     def __init__(
         self, rows: DataFrame, row_id: str, text: str, page: str, hints: DataFrame | None = None, min_count: int = 3, max_distance: float = 0.9, rare_share: float = 0.05,
-        language_share: float = 0.25, certain_ratio: float = 100.0, context_odds: float = 100.0, hinted_odds: float = 40.0,
+        language_share: float = 0.25, certain_ratio: float = 100.0, context_odds: float = 100.0, hinted_odds: float = 40.0, rare: int = 2,
     ) -> None:
         self.row_id = row_id
         plain = consistent_text(rows.where(F.col(text).isNotNull()), row_id, text).withColumnRenamed(row_id, "__cid")
@@ -237,9 +277,9 @@ class ScanNoise:
         )
         id_type = dict(self.texts.dtypes)["id"]
         self.tokens = cut_lineage(self.cut.mapInPandas(_tokenised, f"id {id_type}, rep boolean, pos int, w string, prev string, next string"))
-        self._judge(hints, min_count, max_distance, rare_share, language_share, certain_ratio, context_odds, hinted_odds)
+        self._judge(hints, min_count, max_distance, rare_share, language_share, certain_ratio, context_odds, hinted_odds, rare)
 
-    def _judge(self, hints, min_count, max_distance, rare_share, language_share, certain_ratio, context_odds, hinted_odds) -> None:
+    def _judge(self, hints, min_count, max_distance, rare_share, language_share, certain_ratio, context_odds, hinted_odds, most_rare) -> None:
         tokens = self.tokens
         counted = tokens.where("rep")
         lexicon = cut_lineage(counted.where(~F.col("w").contains(BREAK)).groupBy("w").agg(F.count("*").alias("n")))
@@ -258,8 +298,7 @@ class ScanNoise:
         # Rare words: a frequent look-alike settles it.
         lawful = language.withColumn("__l", F.lit(True))
         rare = edits.where("rare").join(lawful, "edit", "left").where(F.col("__l").isNull() | (F.col("nc") >= certain_ratio * F.col("nw")))
-        best = F.max(F.struct((-F.col("distance")).alias("d"), "nc", F.col("c"))).getField("c")
-        self.repairs = cut_lineage(rare.groupBy("w").agg(best.alias("c")))
+        self.repairs = cut_lineage(rare.groupBy("w").agg(best_repair().alias("c")))
         fixed = self.repairs.select(F.col("w").alias("__w"), F.col("c").alias("__c"))
         for form, out in (("joined", "cj"), ("hyphened", "ch")):
             broken = broken.join(fixed.select(F.col("__w").alias(form), F.col("__c").alias(out)), form, "left")
@@ -267,19 +306,22 @@ class ScanNoise:
         join = F.when(~unknown, F.col("nj") >= F.col("nh")).when(F.col("cj").isNotNull(), True).when(F.col("ch").isNotNull(), False).otherwise((F.col("na") < min_count) | (F.col("nb") < min_count))
         self.broken = cut_lineage(broken.select("key", join.alias("join"), F.when(join, F.col("joined")).otherwise(F.col("hyphened")).alias("word"), F.when(join, F.col("cj")).otherwise(F.col("ch")).alias("repair")))
         # Words that are rightly in the lexicon: only their neighbours can tell.
-        doubtful = pairs.join(self.repairs.select("w"), "w", "left_anti").where("nw > 0")
+        doubtful = pairs.join(self.repairs.select("w"), "w", "left_anti").where("nw > 0").select("w", "c", F.lit(1.0).alias("gain"), F.lit(False).alias("unlisted"))
+        unexplained = lexicon.where(F.col("n") <= most_rare).join(self.repairs.select("w"), "w", "left_anti")
+        doubtful = cut_lineage(doubtful.union(unlisted_pairs(unexplained, lexicon, language, min_count, max_distance).withColumn("unlisted", F.lit(True))))
         bigrams = counted.select(F.col("prev").alias("x"), F.col("w").alias("y")).union(counted.where("next = '$' or next = '#'").select(F.col("w").alias("x"), F.col("next").alias("y"))).groupBy("x", "y").agg(F.count("*").alias("b"))
         bigrams = cut_lineage(bigrams)
-        context = tokens.join(doubtful.select("w").distinct(), "w", "left_semi").select("prev", "w", "next").distinct().join(doubtful.select("w", "c"), "w")
+        context = tokens.join(doubtful.select("w").distinct(), "w", "left_semi").select("prev", "w", "next").distinct().join(doubtful, "w")
         for x, y, name in (("prev", "w", "pw"), ("w", "next", "wn"), ("prev", "c", "pc"), ("c", "next", "cn")):
             context = context.join(bigrams.select(F.col("x").alias(x), F.col("y").alias(y), F.col("b").alias(name)), [x, y], "left")
         odds = (F.coalesce("pc", F.lit(0)) + 0.5) / (F.greatest(F.coalesce("pw", F.lit(0)) - 1, F.lit(0)) + 0.5) * (F.coalesce("cn", F.lit(0)) + 0.5) / (F.greatest(F.coalesce("wn", F.lit(0)) - 1, F.lit(0)) + 0.5)
-        judged = context.withColumn("odds", odds).where(F.col("odds") >= min(context_odds, hinted_odds))
-        chosen = judged.groupBy("prev", "w", "next").agg(F.max(F.struct("odds", "c")).alias("m")).select("prev", "w", "next", F.col("m.odds").alias("odds"), F.col("m.c").alias("c"))
+        judged = context.withColumn("odds", odds * F.col("gain")).where((F.col("odds") >= min(context_odds, hinted_odds)) & F.expr("not unlisted or (pc is not null and prev not in ('^', '#')) or (cn is not null and next not in ('$', '#'))"))
+        chosen = judged.groupBy("prev", "w", "next").agg(F.min(F.struct((-F.col("odds")).alias("o"), "c")).alias("m")).select("prev", "w", "next", (-F.col("m.o")).alias("odds"), F.col("m.c").alias("c"))
         by_context = tokens.join(chosen, ["prev", "w", "next"])
         if hints is not None:
-            h = hints.select(F.col(self.row_id).alias("__hid")).distinct()
-            by_context = by_context.join(h, F.col("id") == F.col("__hid"), "left").where((F.col("odds") >= context_odds) | F.col("__hid").isNotNull())
+            sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.5)), F.lit(1.0))
+            h = hints.select(F.col(self.row_id).alias("__hid"), (hinted_odds + (context_odds - hinted_odds) * (2 * sure - 1)).alias("__need")).groupBy("__hid").agg(F.min("__need").alias("__need"))
+            by_context = by_context.join(h, F.col("id") == F.col("__hid"), "left").where(F.col("odds") >= F.coalesce("__need", F.lit(context_odds)))
         else:
             by_context = by_context.where(F.col("odds") >= context_odds)
         plain = tokens.join(self.repairs, "w").select("id", "pos", "c")
