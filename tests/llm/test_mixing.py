@@ -94,3 +94,13 @@ def test_too_many_targets_are_refused(spark):
     targets = spark.range(10_001).selectExpr("concat('s', id) as source", "1 / 10001D as target_share", "1 as max_repeats")
     with pytest.raises(ValueError, match="more than 10000 target sources"):
         mixing.Mixture(docs, targets)
+
+
+def test_promises_and_pattern(spark, tmp_path):
+    _, docs, targets = docs_and_targets(spark)
+    mix = mixing.Mixture(docs, targets, seed=3, buckets=8)
+    assert {tuple(r) for r in mix.kept_promises().collect()} == {(s, True, True) for s in "abc"}
+    short = mixing.Mixture(docs, targets, total_tokens=10**9, buckets=8).kept_promises().collect()
+    assert not any(r["share_met"] for r in short) and all(r["cap_kept"] for r in short)
+    (tmp_path / "__init__.py").write_text("raise SystemExit\nPATTERN = r'\\w+'\n")
+    assert mixing.cut_pattern(str(tmp_path / "x.tiktoken")) == "\\w+"
