@@ -40,14 +40,16 @@ class NodeType:
     numbers: tuple[str, ...] = field(default=())
 
 
-def parse_record(text: str | None):
-    """A JSON value; None for null, empty or malformed text (also for nesting beyond the parser's depth)."""
-    if not text:
-        return None
+def parse_record(text: str | None) -> tuple[object, str | None]:
+    """(value, fault) of JSON text: no value and EMPTY, MALFORMED or TOO_DEEP (beyond the parser's depth) where it has none."""
+    if not text or not text.strip():
+        return None, "EMPTY"
     try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
+        return json.loads(text), None
+    except RecursionError:
+        return None, "TOO_DEEP"
+    except ValueError:
+        return None, "MALFORMED"
 
 
 def label_nodes(root, steps: list[tuple[str, ...]], start: int = 0) -> tuple[list[tuple], int]:
@@ -126,9 +128,10 @@ def flat_tables(rows: DataFrame, root_id: str, content: Column, types: list[Node
     post, depth, key (field name or side), parent_type, parent_pre, parent_key and
     the maps `fields` and `parent_fields` (column -> text).  A node whose parent
     type names no enclosing node has null parent columns; a node that lacks one of
-    its type's `need` fields is left out.  Defined results: null, empty, malformed
-    or scalar content gives no nodes; records may have any size; redelivered
-    records repeat their nodes (drop them with distinct()).
+    its type's `need` fields is left out.  Defined results: null or scalar content
+    gives no nodes; empty, malformed or too deeply nested content gives one row of the
+    node_type "fault" whose key names the fault; records may have any size;
+    redelivered records repeat their nodes (drop them with distinct()).
     pre and post are comparable only among nodes of one record.
     """
     steps = [t.path for t in types]
@@ -150,10 +153,12 @@ def flat_tables(rows: DataFrame, root_id: str, content: Column, types: list[Node
     def shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: list[list[tuple]] = [[] for _ in types]
-            base, nxt = [], 0
+            base, nxt, faults = [], 0, []
             for r, (rid, text) in enumerate(zip(batch["root_id"], batch["content"])):
                 base.append(nxt)
-                record = parse_record(text)
+                record, fault = parse_record(text)
+                if fault:
+                    faults.append((rid, "fault", 0, 0, 0, fault, None, None, None, None, None))
                 if record is None:
                     continue
                 nodes, nxt = label_nodes(record, steps, nxt)
@@ -163,7 +168,7 @@ def flat_tables(rows: DataFrame, root_id: str, content: Column, types: list[Node
                         fields = {c: _text(_dig(value, p, t.list_order)) for c, p in t.fields.items()}
                         if all(fields.get(n) is not None for n in t.need):
                             found[step].append((rid, r, pre, post, depth, key, fields))
-            out = []
+            out = faults
             for t, mine in zip(types, found):
                 above = found[place[t.parent]] if t.parent else []
                 at = _enclosing(mine, above)
@@ -197,7 +202,7 @@ def type_table(nodes: DataFrame, node_type: str, columns: dict[str, Column]) ->
 
 
 BOX = ("x", "y", "width", "height")
-PAGE = NodeType("page", ("*",), {"page_id": ("page_id",), "node_count": ("node_count",), "mean_confidence": ("mean_confidence",), "min_confidence": ("min_confidence",)})
+PAGE = NodeType("page", ("*",), {"page_id": ("page_id",), "node_count": ("node_count",), "mean_confidence": ("mean_confidence",), "min_confidence": ("min_confidence",), "low_confidence_node_count": ("low_confidence_node_count",)})
 LOW_NODE = NodeType(
     "node",
     ("*", "low_confidence_nodes", "*"),
@@ -252,6 +257,30 @@ def page_side_table(manifests: DataFrame) -> DataFrame:
     return sides.where("box is not null").drop("box").withColumnRenamed("root_id", "manifest_id").distinct()
 
 
+def page_table(reports: DataFrame) -> DataFrame:
+    """Flat pages of quality reports: report, page, node counts and confidences (0..1); distinct rows."""
+    f = lambda n: F.col("fields")[n]
+    pages = type_table(report_nodes(reports), "page", {
+        "page_id": f("page_id"), "node_count": f("node_count").try_cast("int"), "mean_confidence": confidence(f("mean_confidence")), "min_confidence": confidence(f("min_confidence")),
+        "low_confidence_node_count": f("low_confidence_node_count").try_cast("int"),
+    })
+    return pages.where("page_id is not null").withColumnRenamed("root_id", "report_id").distinct()
+
+
+def capture_table(manifests: DataFrame) -> DataFrame:
+    """Flat captures of manifests: manifest, capture, status, image and overlap; distinct rows."""
+    f = lambda n: F.col("fields")[n]
+    captures = type_table(manifest_nodes(manifests), "capture", {"capture": f("capture"), "status": f("status"), "image_path": f("image_path"), "overlap_px": f("overlap_px").try_cast("int")})
+    return captures.where("capture is not null").withColumnRenamed("root_id", "manifest_id").distinct()
+
+
+def fault_table(reports: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(source_table, root_id, fault) of records whose content cannot be read, each once."""
+    parts = [(report_nodes(reports), "ocr_quality_report_p008"), (manifest_nodes(manifests), "input_manifest")]
+    a, b = (n.where("node_type = 'fault'").select(F.lit(t).alias("source_table"), "root_id", F.col("key").alias("fault")) for n, t in parts)
+    return a.union(b).distinct()
+
+
 def parent_child_links(reports: DataFrame, manifests: DataFrame) -> DataFrame:
     """(source_table, root_id, parent_id, child_id) of low-confidence nodes and of boxed page sides, each once."""
     nodes = report_nodes(reports).where("node_type = 'node'").select(F.lit("ocr_quality_report_p008").alias("source_table"), "root_id", F.col("parent_fields")["page_id"].alias("parent_id"), F.col("fields")["node_id"].alias("child_id"))

@@ -34,6 +34,22 @@ def p4_page_sides(spark: SparkSession, folder: str) -> DataFrame:
     return nested.page_side_table(table(spark, folder, "input_manifest")).withColumn("area_ratio", F.round("area_ratio", 8))
 
 
+def p4_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Report pages as a flat table."""
+    pages = nested.page_table(table(spark, folder, "ocr_quality_report_p008"))
+    return pages.withColumns({c: F.round(c, 8) for c in ("mean_confidence", "min_confidence")})
+
+
+def p4_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest captures as a flat table."""
+    return nested.capture_table(table(spark, folder, "input_manifest"))
+
+
+def p4_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports and manifests whose content cannot be read."""
+    return nested.fault_table(table(spark, folder, "ocr_quality_report_p008"), table(spark, folder, "input_manifest"))
+
+
 _GROUPS = """
 WITH RECURSIVE base AS (
   SELECT delivery_row_id AS r, outbox_id AS o, scan_session_id AS s, lower(trim(idempotency_key, E' \\t\\n\\r\\f\\x0b' || chr(160) || chr(12288))) AS k, attempt_count AS a
@@ -57,6 +73,16 @@ _REPORT_NODES = """
   WHERE json_type(n) = 'OBJECT' AND json_extract_string(n, '$.node_id') IS NOT NULL
 """
 
+_PAGES = """
+  SELECT report_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS p
+  FROM (SELECT report_id, coalesce(to_json(pages), CAST(pages_json AS JSON)) AS j FROM ocr_quality_report_p008) WHERE j IS NOT NULL
+"""
+
+_CAPTURES = """
+  SELECT manifest_id, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS c
+  FROM (SELECT manifest_id, coalesce(to_json(records), CAST(records_json AS JSON)) AS j FROM input_manifest) WHERE j IS NOT NULL
+"""
+
 _SIDES = """
   SELECT manifest_id, json_extract_string(c, '$.capture') AS capture, side, body
   FROM (SELECT manifest_id, c, unnest(CASE WHEN json_type(json_extract(c, '$.pages')) = 'ARRAY'
@@ -82,10 +108,23 @@ UNION SELECT DISTINCT 'input_manifest', manifest_id, capture, side FROM ({_SIDES
 SELECT DISTINCT report_id, page_id, json_extract_string(n, '$.node_id') AS node_id, TRY_CAST(json_extract_string(n, '$.reading_order_index') AS INTEGER) AS reading_order_index,
   CASE WHEN c > 1 THEN c / 100 ELSE c END AS confidence, {', '.join(f"{_box('n', k, b, 'bbox', 'DOUBLE')} AS box_{b}" for k, b in enumerate(nested.BOX))}, json_extract_string(n, '$.text') AS text
 FROM (SELECT *, TRY_CAST(json_extract_string(n, '$.confidence') AS DOUBLE) AS c FROM ({_REPORT_NODES}))""",
+    "p4_pages": f"""
+SELECT DISTINCT report_id, json_extract_string(p, '$.page_id') AS page_id, TRY_CAST(json_extract_string(p, '$.node_count') AS INTEGER) AS node_count,
+  round(CASE WHEN a > 1 THEN a / 100 ELSE a END, 8) AS mean_confidence, round(CASE WHEN b > 1 THEN b / 100 ELSE b END, 8) AS min_confidence,
+  TRY_CAST(json_extract_string(p, '$.low_confidence_node_count') AS INTEGER) AS low_confidence_node_count
+FROM (SELECT *, TRY_CAST(json_extract_string(p, '$.mean_confidence') AS DOUBLE) AS a, TRY_CAST(json_extract_string(p, '$.min_confidence') AS DOUBLE) AS b FROM ({_PAGES}))
+WHERE json_extract_string(p, '$.page_id') IS NOT NULL""",
+    "p4_captures": f"""
+SELECT DISTINCT manifest_id, json_extract_string(c, '$.capture') AS capture, json_extract_string(c, '$.status') AS status, json_extract_string(c, '$.image_path') AS image_path,
+  TRY_CAST(json_extract_string(c, '$.overlap_px') AS INTEGER) AS overlap_px FROM ({_CAPTURES}) WHERE json_extract_string(c, '$.capture') IS NOT NULL""",
+    "p4_faults": """
+SELECT DISTINCT 'ocr_quality_report_p008' AS source_table, report_id AS root_id, CASE WHEN trim(pages_json) = '' THEN 'EMPTY' ELSE 'MALFORMED' END AS fault
+FROM ocr_quality_report_p008 WHERE pages IS NULL AND NOT json_valid(pages_json)
+UNION SELECT DISTINCT 'input_manifest', manifest_id, CASE WHEN trim(records_json) = '' THEN 'EMPTY' ELSE 'MALFORMED' END FROM input_manifest WHERE records IS NULL AND NOT json_valid(records_json)""",
     "p4_page_sides": f"""
 SELECT DISTINCT manifest_id, capture, side, {', '.join(f"{_box('body', k, b, 'bbox_full', 'INTEGER')} AS box_{b}" for k, b in enumerate(nested.BOX))},
   round(TRY_CAST(json_extract_string(body, '$.area_ratio') AS DOUBLE), 8) AS area_ratio, json_extract_string(body, '$.winding') AS winding
 FROM ({_SIDES})""",
 }
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_kept, p4_found, p4_low_confidence_nodes, p4_page_sides)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_kept, p4_found, p4_low_confidence_nodes, p4_pages, p4_captures, p4_page_sides, p4_faults)}

@@ -48,10 +48,18 @@ def test_deep_and_long():
     deep = json.loads("[" * 500 + "]" * 500)
     nodes, _ = nested.label_nodes(deep, [("*",)], 0)
     assert len(nodes) == 500 and max(n[2] for n in nodes) == 499
-    assert nested.parse_record("[" * 200_000) is None
+    assert nested.parse_record("[" * 200_000) == (None, "TOO_DEEP")
     wide, _ = nested.label_nodes([{"low_confidence_nodes": [{"node_id": str(k)} for k in range(20_000)]}], [("*", "low_confidence_nodes", "*")], 0)
     assert sum(n[3] == 0 for n in wide) == 20_000
 
 
 def test_empty_tables(spark):
     assert nested.parent_child_links(reports(spark, []), manifests(spark, [])).count() == 0
+
+
+def test_pages_captures_and_faults(spark):
+    rows = [("a", json.dumps([{"page_id": "p1", "node_count": 3, "mean_confidence": 91.5, "low_confidence_node_count": 1}, {"page_id": "p1", "node_count": 3, "mean_confidence": 0.915, "low_confidence_node_count": 1}, {"page_id": None}])), ("b", "{broken"), ("c", " "), ("d", None), ("e", "3")]
+    assert [tuple(r) for r in nested.page_table(reports(spark, rows)).collect()] == [("a", "p1", 3, 0.915, None, 1)]
+    records = [("m", json.dumps([{"capture": "c1", "status": "ok", "overlap_px": "7"}, {"capture": "c1", "status": "ok", "overlap_px": 7}, {"status": "x"}])), ("n", "nul")]
+    assert [tuple(r) for r in nested.capture_table(manifests(spark, records)).collect()] == [("m", "c1", "ok", None, 7)]
+    assert {tuple(r) for r in nested.fault_table(reports(spark, rows), manifests(spark, records)).collect()} == {("ocr_quality_report_p008", "b", "MALFORMED"), ("ocr_quality_report_p008", "c", "EMPTY"), ("input_manifest", "n", "MALFORMED")}
