@@ -251,23 +251,26 @@ def _median(values: list[float]) -> float:
     return v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2
 
 
-def cluster_lines(tokens: DataFrame, keys: list[str], y_share: float = 0.65, x_share: float = 8.0) -> DataFrame:
+def cluster_lines(tokens: DataFrame, keys: list[str], y_share: float = 0.65, x_share: float = 8.0, space_share: float = 0.45) -> DataFrame:
     """(keys, line, tokens, text, x, y, w, h): tokens gathered into lines, page by page.
 
     Tokens come from top to bottom; each joins the first line whose median centre is
     within y_share of the larger of its height and the line's median height and whose
-    gap is at most x_share heights; otherwise it opens a line.  Tokens without a box
-    are left out.
+    gap is at most x_share heights; otherwise it opens a line.  A height counts as 1 at
+    least.  In the text a blank stands only where the gap exceeds space_share of the
+    line's median height; a token without text adds none.  Tokens without a box are
+    left out.
     """
 
     def gather(page: list[dict]) -> list[tuple]:
         lines: list[list[dict]] = []
+        tall = lambda m: max(m["h"], 1.0)
         for t in sorted(page, key=lambda t: (t["y"] + t["h"] / 2, t["x"], t["node_id"])):
             centre = t["y"] + t["h"] / 2
             for line in lines:
-                tall = max(t["h"], _median([m["h"] for m in line]))
+                size = max(tall(t), _median([tall(m) for m in line]))
                 gap = max(t["x"] - max(m["x"] + m["w"] for m in line), min(m["x"] for m in line) - (t["x"] + t["w"]), 0.0)
-                if abs(centre - _median([m["y"] + m["h"] / 2 for m in line])) <= y_share * tall and gap <= x_share * tall:
+                if abs(centre - _median([m["y"] + m["h"] / 2 for m in line])) <= y_share * size and gap <= x_share * size:
                     line.append(t)
                     break
             else:
@@ -275,9 +278,11 @@ def cluster_lines(tokens: DataFrame, keys: list[str], y_share: float = 0.65, x_s
         out = []
         for n, line in enumerate(sorted(lines, key=lambda m: (min(t["y"] for t in m), min(t["x"] for t in m)))):
             line.sort(key=lambda t: t["x"])
+            space = space_share * _median([tall(t) for t in line])
+            text = "".join((" " if before and t["x"] - (before["x"] + before["w"]) > space else "") + (t["text"] or "") for before, t in zip([None, *line], line))
             x, y = min(t["x"] for t in line), min(t["y"] for t in line)
             right, bottom = max(t["x"] + t["w"] for t in line), max(t["y"] + t["h"] for t in line)
-            out.append((n, len(line), " ".join(t["text"] for t in line if t["text"] is not None), x, y, right - x, bottom - y))
+            out.append((n, len(line), text, x, y, right - x, bottom - y))
         return out
 
     boxed = tokens.where(HAS_BOX)
@@ -285,31 +290,54 @@ def cluster_lines(tokens: DataFrame, keys: list[str], y_share: float = 0.65, x_s
 
 
 def cluster_blocks(lines: DataFrame, keys: list[str], gap_share: float = 1.35, least_overlap: float = 0.2) -> DataFrame:
-    """(keys, line, x, y, w, h, block): each line goes, from top to bottom, to the block above it with the smallest gap (at most gap_share heights) and enough overlap."""
+    """(keys, line, x, y, w, h, block): lines gathered into blocks, from top to bottom.
+
+    A line goes to the block whose last line is nearest above it, if the gap is at most
+    gap_share of the median height of the page's lines and both overlap in width by
+    least_overlap of the narrower one; otherwise it opens a block.
+    """
 
     def gather(page: list[dict]) -> list[tuple]:
-        blocks: list[list[float]] = []
+        typical = _median([t["h"] for t in page])
+        last: list[dict] = []  # each block's last line
         out = []
         for t in sorted(page, key=lambda t: (t["y"], t["x"], t["line"])):
-            left, right, bottom = t["x"], t["x"] + t["w"], t["y"] + t["h"]
             fits = []
-            for k, (x0, x1, low) in enumerate(blocks):
-                share = max(0.0, min(x1, right) - max(x0, left)) / max(min(x1 - x0, t["w"]), 1.0)
-                if 0 <= t["y"] - low <= gap_share * t["h"] and share >= least_overlap:
-                    fits.append((t["y"] - low, k))
-            if fits:
-                k = min(fits)[1]
-                x0, x1, low = blocks[k]
-                blocks[k] = [min(x0, left), max(x1, right), max(low, bottom)]
-            else:
-                k = len(blocks)
-                blocks.append([left, right, bottom])
+            for k, b in enumerate(last):
+                gap = t["y"] - (b["y"] + b["h"])
+                share = max(0.0, min(b["x"] + b["w"], t["x"] + t["w"]) - max(b["x"], t["x"])) / max(min(b["w"], t["w"]), 1.0)
+                if 0 <= gap <= gap_share * typical and share >= least_overlap:
+                    fits.append((gap, k))
+            k = min(fits)[1] if fits else len(last)
+            last[k : k + 1] = [t]
             out.append((t["line"], t["x"], t["y"], t["w"], t["h"], k))
         return out
 
     return _per_page(lines, keys, ["line", "x", "y", "w", "h"], gather, "line int, x double, y double, w double, h double, block int")
 
 
+def primary_order(kind: Column, flag: Column, boxed: Column) -> Column:
+    """Whether a node belongs to the primary reading order: an unsupported visual always does, others unless flagged false, and only with a box."""
+    return (kind == "UNSUPPORTED_VISUAL") | (F.coalesce(flag, F.lit(True)) & F.coalesce(boxed, F.lit(False)))
+
+
+def unit_boxes(members: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, scope, x, y, w, h, members, confidence): the box around the members of each problem."""
+    return union_boxes(members.select(*keys, "scope", "node_id").join(nodes, [*keys, "node_id"]), [*keys, "scope"])
+
+
+def unit_order(nodes: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item, scope, place): the reading order with each problem in the place of its first member, its other members left out.
+
+    item is the node, or for a problem its first member; scope is null for a node of no problem.
+    """
+    placed = nodes.select(*keys, "node_id", F.coalesce("ord", F.lit(0)).alias("o")).join(members.select(*keys, "node_id", "scope"), [*keys, "node_id"], "left")
+    unit = F.when(F.col("scope").isNotNull(), F.struct(F.lit("unit").alias("k"), F.col("scope").cast("string").alias("v"))).otherwise(F.struct(F.lit("node").alias("k"), F.col("node_id").alias("v")))
+    first = placed.groupBy(*keys, unit.alias("__u")).agg(F.min(F.struct("o", "node_id", "scope")).alias("m"))
+    w = Window.partitionBy(*keys).orderBy("m.o", "m.node_id")
+    return first.select(*keys, F.col("m.node_id").alias("item"), F.col("m.scope").alias("scope"), (F.row_number().over(w) - 1).alias("place"))
+
+
 def problem_units(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, scope, role, node_id, place): members of each problem in a page's scopes.
 

@@ -188,6 +188,40 @@ def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return pages.cluster_blocks(page_lines(spark, folder).drop("text"), KEYS)
 
 
+_BASELINES = """
+tok AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY y + h / 2, x, node_id) AS k, coalesce(text, '') AS text, x, y, w, h FROM nodes WHERE boxed),
+grown AS (
+  SELECT doc, page, k, [[struct_pack(x := x, k := k, y := y, w := w, h := h, text := text)]] AS lines FROM tok WHERE k = 1
+  UNION ALL
+  SELECT doc, page, k, CASE WHEN fit IS NULL OR fit = 0 THEN list_append(lines, [t]) ELSE list_transform(lines, lambda l, i: CASE WHEN i = fit THEN list_append(l, t) ELSE l END) END
+  FROM (SELECT g.doc, g.page, t.k, g.lines, struct_pack(x := t.x, k := t.k, y := t.y, w := t.w, h := t.h, text := t.text) AS t,
+          list_position(list_transform(g.lines, lambda l:
+            abs(t.y + t.h / 2 - list_aggregate(list_transform(l, lambda m: m.y + m.h / 2), 'median')) <= 0.65 * greatest(greatest(t.h, 1.0), list_aggregate(list_transform(l, lambda m: greatest(m.h, 1.0)), 'median'))
+            AND greatest(t.x - list_max(list_transform(l, lambda m: m.x + m.w)), list_min(list_transform(l, lambda m: m.x)) - (t.x + t.w), 0.0)
+              <= 8.0 * greatest(greatest(t.h, 1.0), list_aggregate(list_transform(l, lambda m: greatest(m.h, 1.0)), 'median'))), true) AS fit
+        FROM grown g JOIN tok t ON g.doc IS NOT DISTINCT FROM t.doc AND g.page IS NOT DISTINCT FROM t.page AND t.k = g.k + 1)),
+cut AS (SELECT doc, page, unnest(lines) AS l, generate_subscripts(lines, 1) AS i FROM (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY k DESC) AS r FROM grown) WHERE r = 1),
+boxes AS (
+  SELECT doc, page, i, len(l) AS tokens, list_sort(l) AS s, list_aggregate(list_transform(l, lambda m: greatest(m.h, 1.0)), 'median') AS tall, list_min(list_transform(l, lambda m: m.x)) AS x, list_min(list_transform(l, lambda m: m.y)) AS y,
+    list_max(list_transform(l, lambda m: m.x + m.w)) AS r, list_max(list_transform(l, lambda m: m.y + m.h)) AS b FROM cut),
+baselines AS (
+  SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY y, x, i) - 1 AS INTEGER) AS line, CAST(tokens AS INTEGER) AS tokens,
+    array_to_string(list_transform(s, lambda m, n: CASE WHEN n > 1 AND m.x - (s[n - 1].x + s[n - 1].w) > 0.45 * tall THEN ' ' ELSE '' END || m.text), '') AS text, x, y, r - x AS w, b - y AS h FROM boxes)
+"""
+_BLOCKS = _BASELINES + """,
+ranked_lines AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y, x, line) AS k, median(h) OVER (PARTITION BY doc, page) AS typical FROM baselines),
+stacked AS (
+  SELECT doc, page, k, line, x, y, w, h, [struct_pack(x := x, y := y, w := w, h := h)] AS tails, CAST(0 AS BIGINT) AS block FROM ranked_lines WHERE k = 1
+  UNION ALL
+  SELECT doc, page, k, line, x, y, w, h,
+    CASE WHEN fit IS NULL THEN list_append(tails, t) ELSE list_transform(tails, lambda b, i: CASE WHEN i = fit THEN t ELSE b END) END, coalesce(fit - 1, len(tails))
+  FROM (SELECT g.doc, g.page, t.k, t.line, t.x, t.y, t.w, t.h, g.tails, struct_pack(x := t.x, y := t.y, w := t.w, h := t.h) AS t,
+          list_min(list_filter(list_transform(g.tails, lambda b, i: struct_pack(gap := t.y - (b.y + b.h), i := i, share := greatest(0.0, least(b.x + b.w, t.x + t.w) - greatest(b.x, t.x)) / greatest(least(b.w, t.w), 1.0))),
+            lambda c: c.gap >= 0 AND c.gap <= 1.35 * t.typical AND c.share >= 0.2)).i AS fit
+        FROM stacked g JOIN ranked_lines t ON g.doc IS NOT DISTINCT FROM t.doc AND g.page IS NOT DISTINCT FROM t.page AND t.k = g.k + 1))
+"""
+
+
 def page_validation(spark: SparkSession, folder: str) -> DataFrame:
     """AGG-13, SET-03: validation counters of pages whose order lists only nodes with a box."""
     n = nodes(spark, folder)
@@ -270,6 +304,8 @@ def _half(name: str, cond: str) -> str:
 _COMPARISON = _COMPARISON.replace("{parts}", _half("qb", "b") + ",\n" + _half("qc", "NOT b"))
 
 SQL = {
+    "page_lines": f"WITH RECURSIVE {_NODES}, {_BASELINES} SELECT doc, page, line, tokens, text, x, y, w, h FROM baselines",
+    "page_blocks": f"WITH RECURSIVE {_NODES}, {_BLOCKS} SELECT doc, page, line, x, y, w, h, CAST(block AS INTEGER) AS block FROM stacked",
     "page_node_flags": f"WITH {_NODES}, {_FLAGS} SELECT doc, page, node_id, low, shape, noise, table_like, mixed, crosses, \"column\" FROM flags",
     "page_order_warnings": f"WITH {_NODES}, {_ORDERS} SELECT doc, page, type, from_node_id, to_node_id, size FROM warns",
     "page_overlaps": f"WITH {_NODES}, {_OVERLAPS.replace('{threshold}', '0.05')} SELECT doc, page, node_a, node_b, ratio FROM lapped",

@@ -71,6 +71,22 @@ def test_lines_and_blocks(spark):
     assert [r["block"] for r in pages.cluster_blocks(lines, KEYS).orderBy("line").collect()] == [0, 0, 1]
 
 
+def test_lines_and_blocks_follow_medians(spark):
+    near = [("a", 0, 1.0, "fo", 0.0, 0.0, 10.0, 10.0), ("b", 1, 1.0, "cus", 11.0, 0.0, 10.0, 10.0), ("c", 2, 1.0, None, 30.0, 0.0, 5.0, 0.0)]
+    assert [r["text"] for r in pages.cluster_lines(nodes(spark, near), KEYS).collect()] == ["focus "]
+    rows = [("d", "p", k, 0.0, y, 50.0, h) for k, (y, h) in enumerate([(0.0, 40.0), (50.0, 40.0), (120.0, 10.0)])]
+    lines = spark.createDataFrame(rows, "doc string, page string, line int, x double, y double, w double, h double")
+    assert [r["block"] for r in pages.cluster_blocks(lines, KEYS).orderBy("line").collect()] == [0, 0, 0]
+
+
+def test_units_in_order(spark):
+    texts = ["머리", "[12345-1234] 다음을 구하시오", "① 1 ② 2 ③ 3 ④ 4 ⑤ 5", "[12345-1235] 줄기", "끝"]
+    n = nodes(spark, [(f"n{k}", k, 0.5, t, 0.0, 10.0 * k, 9.0, 9.0) for k, t in enumerate(texts)])
+    members = pages.problem_units(n, KEYS)
+    assert [(r["x"], r["y"], r["w"], r["h"], r["members"]) for r in pages.unit_boxes(members, n, KEYS).collect()] == [(0.0, 10.0, 9.0, 19.0, 2)]
+    assert [(r["item"], r["scope"], r["place"]) for r in pages.unit_order(n, members, KEYS).orderBy("place").collect()] == [("n0", None, 0), ("n1", 1, 1), ("n3", None, 2), ("n4", None, 3)]
+
+
 def test_problem_units(spark):
     texts = ["[12345-1234] 다음을 구하시오", "(가) 조건", "① 1 ② 2 ③ 3", "④ 4 ⑤ 5", "밖", "[12345-1235] 값을 구하시오.", "풀이", "[12345-1236]", "[12345-1237] 줄기", "① 1 ② 2", "끝"]
     rows = [(f"n{k:02}", k, 1.0, t, 0.0, 10.0 * k, 9.0, 9.0) for k, t in enumerate(texts)]
