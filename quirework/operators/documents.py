@@ -85,6 +85,20 @@ def excluded_pages(nodes: DataFrame, keys: list[str], exclude: DataFrame) -> Dat
     return kept.select(*keys, "node_id", "ord", "kind", "embedded").unionByName(stand_in)
 
 
+def assembled_revision(base: DataFrame, new: DataFrame, keys: list[str], page: str, item: str) -> DataFrame:
+    """(keys, pages, base_pages, new_pages, repeated_pages, unnumbered, steps_back, valid): base pages and new pages after them, checked as a whole.
+
+    Valid is a revision whose pages all have a number, each once, in rising order.
+    """
+    both = base.select(*keys, page, item, F.lit(0).alias("__s")).union(new.select(*keys, page, item, F.lit(1)))
+    before = F.lag(page).over(Window.partitionBy(*keys).orderBy("__s", page, item))
+    out = both.withColumn("__b", before).groupBy(*keys).agg(
+        F.count("*").alias("pages"), F.count_if(F.col("__s") == 0).alias("base_pages"), F.count_if(F.col("__s") == 1).alias("new_pages"), (F.count(page) - F.count_distinct(page)).alias("repeated_pages"),
+        (F.count("*") - F.count(page)).alias("unnumbered"), F.count_if(F.col(page) < F.col("__b")).alias("steps_back"),
+    )
+    return out.withColumn("valid", F.expr("repeated_pages = 0 and unnumbered = 0 and steps_back = 0"))
+
+
 def content_keys(rows: DataFrame, text: str) -> DataFrame:
     """Rows with the key of their content and how many rows share it."""
     keyed = rows.withColumn("content_key", text_key(text))
