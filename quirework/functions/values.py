@@ -56,12 +56,6 @@ def centre_inside(a: str, b: str) -> Column:
     return (f(a, "x") + f(a, "w") / 2).between(f(b, "x"), f(b, "x") + f(b, "w")) & (f(a, "y") + f(a, "h") / 2).between(f(b, "y"), f(b, "y") + f(b, "h"))
 
 
-def sign_hash(vector: Column | str) -> Column:
-    """A 63-bit hash of a vector's first 63 elements: bit k is set if element k is positive.  See sign_words for all elements."""
-    bits = F.transform(F.slice(_c(vector), 1, 63), lambda v, k: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-
 def sign_words(vector: Column | str) -> Column:
     """The signs of all elements of a vector in 64-bit words: bit k of word w is set if element 64 w + k is positive."""
     v = _c(vector)

@@ -43,9 +43,9 @@ def status_rollup(rows: DataFrame, keys: list[str], status: str, precedence: lis
 
 
 def zero_filled(rows: DataFrame, values: list[str], column: str) -> DataFrame:
-    """(column, n): how often each of a fixed list of values occurs, 0 included; other values are left out."""
-    fixed = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
-    return F.broadcast(fixed).join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").fillna(0, ["n"])
+    """(column, n): how often each value occurs; those of a fixed list appear with 0 if none does, values outside it, null too, with their number."""
+    fixed = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string").withColumn("n", F.lit(0).cast("long"))
+    return rows.groupBy(column).agg(F.count("*").alias("n")).union(fixed).groupBy(column).agg(F.sum("n").alias("n"))
 
 
 def sum_of_max(rows: DataFrame, keys: list[str], item: str, size: str) -> DataFrame:
@@ -53,11 +53,11 @@ def sum_of_max(rows: DataFrame, keys: list[str], item: str, size: str) -> DataFr
     return rows.groupBy(*keys, item).agg(F.max(size).alias("m")).groupBy(*keys).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("total"))
 
 
-def presence(sessions: DataFrame, device: str, seen: str, now: Column) -> DataFrame:
+def presence(sessions: DataFrame, device: str, seen: str, now: Column, stale_s: float = 45, offline_s: float = 120) -> DataFrame:
     """(device, state, live, split_brain): a device is as present as its most present session."""
     from quirework.functions.values import age_class
 
-    state = age_class(F.col(seen), now)
+    state = age_class(F.col(seen), now, stale_s, offline_s)
     rank = F.when(state == "online", 2).when(state == "stale", 1).otherwise(0)
     out = sessions.groupBy(device).agg(F.max(rank).alias("r"), F.count_if(rank > 0).alias("live"))
     return out.select(device, F.when(F.col("r") == 2, "online").when(F.col("r") == 1, "stale").otherwise("offline").alias("state"), "live", (F.col("live") > 1).alias("split_brain"))

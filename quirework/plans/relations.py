@@ -88,7 +88,7 @@ def doc_page_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """HSH-01, JN-14: texts that occur more than once, with their first document."""
+    """HSH-01: texts that occur more than once, with their first document."""
     d = documents.content_keys(_docs(spark, folder).select("doc_id", "text"), "text").where("copies > 1")
     return d.groupBy("content_key").agg(F.min("doc_id").alias("first_doc"), F.max("copies").alias("copies"))
 
@@ -101,10 +101,12 @@ def doc_viewport(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_reuse(spark: SparkSession, folder: str) -> DataFrame:
-    """MAP-02: documents of odd number whose book and text are stored under one of even number: kept, others to be made."""
-    d = _docs(spark, folder).select("doc_id", F.coalesce("book_id", F.lit("")).alias("key"), "text")
-    old = d.where("doc_id % 2 = 0").groupBy("key", "text").agg(F.min("doc_id").alias("asset"))
-    return documents.reused(d.where("doc_id % 2 = 1"), old, "key", "text", "asset").select("doc_id", "asset", "action")
+    """MAP-02: each document against the first one of its book with its text: kept as that one, or to be made if it is the first."""
+    d = _docs(spark, folder).select("doc_id", F.coalesce("book_id", F.lit("")).alias("key"), "text", "ingested_at")
+    first = d.where("text is not null").groupBy("key", "text").agg(F.min(F.struct("ingested_at", "doc_id")).alias("m")).select("key", "text", F.col("m.doc_id").alias("asset"))
+    out = documents.reused(d, first, "key", "text", "asset")
+    own = F.col("asset").isNull() | (F.col("asset") == F.col("doc_id"))
+    return out.select("doc_id", F.when(~own, F.col("asset")).alias("asset"), F.when(own, "synthesize").otherwise("keep").alias("action"))
 
 
 def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,14 +274,6 @@ def order_nations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """NUM-03, JN-12: nearest other vector of its label for each twentieth vector, by the hash of the first 63 signs."""
-    e = table(spark, folder, "embeddings").select("vec_id", "label", V.sign_hash("embedding").alias("h"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("label"), F.col("h").alias("qh"))
-    d = q.join(e, "label").where("q_id <> vec_id").withColumn("d", V.hamming("qh", "h"))
-    return d.groupBy("q_id").agg(F.min(F.struct("d", "vec_id")).alias("m")).select("q_id", F.col("m.vec_id").alias("vec_id"), F.col("m.d").alias("bits"))
-
-
-def vector_sign_matches(spark: SparkSession, folder: str) -> DataFrame:
     """NUM-03, JN-12: nearest other vector of all rows for each twentieth vector, by the signs of all elements."""
     e = table(spark, folder, "embeddings").select("vec_id", F.size("embedding").alias("n"), V.sign_words("embedding").alias("h"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("n").alias("qn"), F.col("h").alias("qh"))
@@ -311,7 +305,6 @@ _SCORE = rf"""CASE WHEN len(regexp_extract_all(t, '[①②③④⑤]|\([1-5]\)|\
   CASE WHEN regexp_matches(t, '[A-Za-z0-9)\]}}]\s*[=<>]|[≤≥≠≈]') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)\b[fgh]\s*\(|\b(?:sin|cos|tan|log|ln)\b') THEN 3 ELSE 0 END
   + CASE WHEN regexp_matches(t, '(?:[0-9]+|[A-Za-z])\s*/\s*(?:[0-9]+|[A-Za-z])') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '[A-Za-z0-9]\s*[\^_]\s*[A-Za-z0-9]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '[√∑∫∞π]') THEN 3 ELSE 0 END
   + CASE WHEN {_SIGNS} >= 2 AND {_SIGNS} >= 0.08 * length(t) THEN 2 ELSE 0 END + CASE WHEN length(t) <= 45 AND {_SIGNS} >= 1 AND length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) >= 2 THEN 2 ELSE 0 END END"""
-_BITS = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(0, 63), lambda k: CASE WHEN embedding[k + 1] > 0 THEN CAST(1 AS BIGINT) << CAST(k AS INTEGER) ELSE CAST(0 AS BIGINT) END)), lambda a, b: a | b)"
 
 SQL = {
     "doc_quality_report": f"""WITH d AS (SELECT {_SRC} AS source, n_chars, {_NOISE} AS noise, {_TABLE} AS tables, n_chars < 100 AS short FROM documents)
@@ -333,7 +326,8 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, left(o, 1) AS label, trim(substr(o
     "doc_duplicates": "SELECT left(sha256(text), 16) AS content_key, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     "doc_viewport": r"""WITH t AS (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), ' ') AS c FROM documents), o AS (SELECT *, CAST(greatest(0, least(20, ((len(c) - 1) // 20) * 20)) AS INTEGER) AS o FROM t)
 SELECT doc_id, o AS "offset", array_to_string(c[o + 1 : o + 20], ' ') AS shown, CAST(len(c) AS INTEGER) AS total, o > 0 AS has_previous, o + 20 < len(c) AS has_next FROM o""",
-    "doc_reuse": "SELECT n.doc_id, min(o.doc_id) AS asset, CASE WHEN min(o.doc_id) IS NULL THEN 'synthesize' ELSE 'keep' END AS action FROM documents n LEFT JOIN documents o ON o.doc_id % 2 = 0 AND coalesce(o.book_id, '') = coalesce(n.book_id, '') AND o.text = n.text WHERE n.doc_id % 2 = 1 GROUP BY 1",
+    "doc_reuse": """WITH f AS (SELECT doc_id, text, first_value(doc_id) OVER (PARTITION BY coalesce(book_id, ''), text ORDER BY ingested_at NULLS FIRST, doc_id) AS a FROM documents)
+SELECT doc_id, CASE WHEN text IS NOT NULL AND a <> doc_id THEN a END AS asset, CASE WHEN text IS NOT NULL AND a <> doc_id THEN 'keep' ELSE 'synthesize' END AS action FROM f""",
     "doc_particles": r"SELECT DISTINCT w, w || CASE WHEN (unicode(right(w, 1)) - 44032) % 28 <> 0 THEN '은' ELSE '는' END AS topic FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM documents) WHERE regexp_matches(w, '^[가-힣]+$')",
     "doc_language_modes": "SELECT book_id, lang, c AS votes, CAST(n AS BIGINT) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY book_id) AS n, row_number() OVER (PARTITION BY book_id ORDER BY c DESC, f) AS k FROM (SELECT book_id, lang, count(*) AS c, min(doc_id) AS f FROM documents WHERE book_id IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2)) WHERE k = 1",
     "doc_append": "SELECT book_id, doc_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END, page_no NULLS FIRST, doc_id) - 1 AS INTEGER) AS place FROM documents WHERE book_id IS NOT NULL",
@@ -355,9 +349,7 @@ SELECT l_orderkey, CAST(position AS INTEGER) AS position, r.l_partkey AS "left",
     "order_type_deltas": "SELECT l_suppkey, l_returnflag, count(*) FILTER (l_linestatus = 'F') AS baseline, count(*) FILTER (l_linestatus = 'O') AS candidate, count(*) FILTER (l_linestatus = 'O') - count(*) FILTER (l_linestatus = 'F') AS delta FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (l_linestatus = 'O') <> count(*) FILTER (l_linestatus = 'F')",
     "order_pricing": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY 1, 2",
     "order_nations": "SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
-    "vector_hashes": f"""WITH e AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings)
-SELECT q_id, vec_id, CAST(d AS INTEGER) AS bits FROM (SELECT q.vec_id AS q_id, e.vec_id, bit_count(xor(q.h, e.h)) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.h, e.h)), e.vec_id) AS k FROM e q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE k = 1""",
-    "vector_sign_matches": """SELECT q_id, vec_id, CAST(d AS INTEGER) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS k FROM (
+    "vector_hashes": """SELECT q_id, vec_id, CAST(d AS INTEGER) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS k FROM (
   SELECT q.vec_id AS q_id, e.vec_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda k: CASE WHEN coalesce(q.embedding[k] > 0, false) <> coalesce(e.embedding[k] > 0, false) THEN 1 ELSE 0 END)) AS d
   FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id AND len(q.embedding) = len(e.embedding) WHERE q.vec_id % 20 = 0 AND len(q.embedding) > 0)) WHERE k = 1""",
     "vector_matches": """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
@@ -371,6 +363,6 @@ QUERIES = {
     for q in (
         doc_quality_report, doc_issue_scores, doc_source_defaults, doc_support, doc_math_scores, doc_token_classes, doc_choices, doc_lines, doc_normalised, doc_page_labels, doc_duplicates, doc_viewport, doc_reuse, doc_terms, doc_formulas, doc_formula_readings, doc_word_braille, doc_particles,
         doc_language_modes, doc_append, item_similarity, item_alignment, order_semi, order_anti, order_references, order_sets, order_status, order_gapless, order_nested_max, order_percentiles, order_wins, order_regressions,
-        order_zip, order_anchor, order_type_deltas, order_pricing, order_nations, vector_hashes, vector_sign_matches, vector_matches, vector_cells,
+        order_zip, order_anchor, order_type_deltas, order_pricing, order_nations, vector_hashes, vector_matches, vector_cells,
     )
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quirework.functions import values as V
+from quirework.functions import text as X, values as V
 from quirework.operators import delivery, layout, sequences, statistics
 from quirework.session import table
+from quirework.sources import files
 from quirework.streaming import frames
 
 USER, ORDER = ["user_id"], ["ts", "event_id"]
@@ -104,18 +105,16 @@ def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_props(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-02, STR-13: a field of the JSON properties by type."""
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    return _events(spark, folder).groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.sum(k).alias("sum_k"))
+    """SRC-02, STR-13: a field of the JSON properties by type, with the properties read as lines of an event log."""
+    e = files.event_lines(_events(spark, folder), "props", "k string")
+    k = X.safe_int("k")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.sum(k).alias("sum_k"))
 
 
 def event_presence(spark: SparkSession, folder: str) -> DataFrame:
     """DAT-01, AGG-18: presence of each user, with event types as sessions."""
-    sessions = _events(spark, folder).groupBy("user_id", "event_type").agg(F.max("ts").alias("ts")).withColumn("ts", (F.col("ts").cast("timestamp") + F.expr("interval 0 seconds")))
-    state = V.age_class(F.col("ts"), F.lit(NOW).cast("timestamp"), 86400.0, 4 * 86400.0)
-    rank = F.when(state == "online", 2).when(state == "stale", 1).otherwise(0)
-    out = sessions.groupBy("user_id").agg(F.max(rank).alias("r"), F.count_if(rank > 0).alias("live"))
-    return out.select("user_id", F.when(F.col("r") == 2, "online").when(F.col("r") == 1, "stale").otherwise("offline").alias("state"), "live", (F.col("live") > 1).alias("split_brain"))
+    sessions = _events(spark, folder).groupBy("user_id", "event_type").agg(F.max("ts").cast("timestamp").alias("ts"))
+    return delivery.presence(sessions, "user_id", "ts", F.lit(NOW).cast("timestamp"), 86400.0, 4 * 86400.0)
 
 
 def event_hours(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +144,7 @@ def event_effective_size(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """AGG-24: block bootstrap of each user's mean value."""
-    return statistics.block_bootstrap(_events(spark, folder), USER, ORDER, "value", 5, 200)
+    return statistics.block_bootstrap(_events(spark, folder), USER, ORDER, "value", 5)
 
 
 def event_consensus(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,10 +365,11 @@ def spread_orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def spread_revisions(spark: SparkSession, folder: str) -> DataFrame:
-    """JN-02: spreads joined to the message of their session and sequence (two keys)."""
-    s = table(spark, folder, "scan_spreads").groupBy("scan_session_id", "sequence").agg(F.max("updated_at").alias("updated_at"))
-    o = _outbox(spark, folder).groupBy("scan_session_id", "sequence").agg(F.max("attempt_count").alias("attempts"))
-    return s.join(o, ["scan_session_id", "sequence"])
+    """JN-02: each spread, named by session and sequence, joined to the delivery that is its current one (its last receipt)."""
+    s = table(spark, folder, "scan_spreads").where("receipt_id is not null").groupBy("scan_session_id", "sequence").agg(F.max("receipt_id").alias("current"))
+    items = s.select(F.concat_ws("/", "scan_session_id", "sequence").alias("spread"), "current")
+    o = _outbox(spark, folder).where("receipt_id is not null").groupBy(F.concat_ws("/", "scan_session_id", "sequence").alias("spread"), "receipt_id").agg(F.max("attempt_count").alias("attempts"), F.count("*").alias("deliveries"))
+    return delivery.current_revisions(items, o, "spread", "current", "receipt_id").select("spread", "receipt_id", "attempts", "deliveries")
 
 
 def spread_catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -416,7 +416,7 @@ SELECT user_id, event_type, since, min(ts) AS at, CAST(min(k) AS INTEGER) AS n F
     "event_decisions": f"""WITH m AS (SELECT user_id, i, sum(h) OVER (PARTITION BY user_id ORDER BY i) AS m FROM (SELECT user_id, row_number() OVER ({_S}) AS i, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS h FROM events) WHERE i <= 20),
 d AS (SELECT user_id, min(i) FILTER (m >= 6 OR m + 20 - i <= 3) AS d, min(i) FILTER (m >= 6) AS s, max(i) AS seen FROM m GROUP BY 1)
 SELECT user_id, CAST(coalesce(d, least(seen, 20)) AS INTEGER) AS decided_at, CASE WHEN s = d THEN 'SAME' WHEN d IS NOT NULL THEN 'DIFFERENT' ELSE 'UNKNOWN' END AS verdict FROM d""",
-    "event_props": "SELECT event_type, count(*) AS n, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1",
+    "event_props": "SELECT event_type, count(*) AS n, count(k) AS with_k, CAST(sum(k) AS BIGINT) AS sum_k FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_type(props) = 'OBJECT') GROUP BY 1",
     "event_presence": f"""WITH s AS (SELECT user_id, event_type, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(ts))) / 1e6 AS age FROM events GROUP BY 1, 2), r AS (SELECT user_id, CASE WHEN age > 345600 THEN 0 WHEN age > 86400 THEN 1 ELSE 2 END AS r FROM s)
 SELECT user_id, CASE max(r) WHEN 2 THEN 'online' WHEN 1 THEN 'stale' ELSE 'offline' END AS state, count(*) FILTER (r > 0) AS live, count(*) FILTER (r > 0) > 1 AS split_brain FROM r GROUP BY 1""",
     "event_hours": f"SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H') AS local_hour, count(*) AS n, count(*) FILTER (ts > TIMESTAMP '{NOW}' - INTERVAL 3 DAY) AS recent FROM events GROUP BY 1",
@@ -463,7 +463,9 @@ JOIN (SELECT scan_session_id, count(DISTINCT outbox_id) AS messages FROM deliver
     "spread_nested": "SELECT p.scan_session_id, CAST(count(s.scan_session_id) AS INTEGER) AS n, arg_min(s.artifact_id, (s.sequence, s.artifact_id)) AS first_artifact FROM (SELECT DISTINCT scan_session_id FROM delivery_outbox) p LEFT JOIN scan_spreads s USING (scan_session_id) GROUP BY 1",
     "spread_orphans": "SELECT DISTINCT receipt_id, artifact_id, status FROM scan_spreads s WHERE received_at <= TIMESTAMP '2026-07-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM delivery_outbox o WHERE o.status = 'acked' AND o.receipt_id = s.receipt_id)",
     "spread_catalog": "SELECT scan_session_id, updated_at, spreads, CAST(greatest(0, least(40, spreads - 1)) AS INTEGER) AS selected FROM (SELECT scan_session_id, max(updated_at) AS updated_at, count(DISTINCT sequence) AS spreads FROM scan_spreads GROUP BY 1) ORDER BY updated_at DESC, scan_session_id LIMIT 32",
-    "spread_revisions": "SELECT * FROM (SELECT scan_session_id, sequence, max(updated_at) AS updated_at FROM scan_spreads GROUP BY 1, 2) JOIN (SELECT scan_session_id, sequence, max(attempt_count) AS attempts FROM delivery_outbox GROUP BY 1, 2) USING (scan_session_id, sequence)",
+    "spread_revisions": """WITH s AS (SELECT scan_session_id, sequence, max(receipt_id) AS receipt_id FROM scan_spreads WHERE receipt_id IS NOT NULL GROUP BY 1, 2)
+SELECT concat_ws('/', s.scan_session_id, s.sequence) AS spread, s.receipt_id, max(attempt_count) AS attempts, count(*) AS deliveries FROM s JOIN delivery_outbox o
+  ON concat_ws('/', s.scan_session_id, s.sequence) = concat_ws('/', o.scan_session_id, o.sequence) AND o.receipt_id = s.receipt_id GROUP BY 1, 2""",
 }
 
 QUERIES = {

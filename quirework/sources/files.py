@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quirework.functions.text import page_id_from_path
-from quirework.functions.values import text_key
 
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "width", "height")])
 ISSUE = T.StructType([T.StructField("code", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("message", T.StringType())])
@@ -49,10 +52,18 @@ def reading_order(documents: DataFrame) -> DataFrame:
     return pages.select("doc", "p.page_id", F.posexplode("p.reading_order").alias("position", "node_id"))
 
 
+def event_lines(rows: DataFrame, line: str, schema: T.StructType | str = EVENT) -> DataFrame:
+    """Rows with the fields of the JSON object in their line; malformed lines and values that are no object are left out, objects that lack fields are kept."""
+    bad = "__malformed"
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    read = F.from_json(line, T.StructType([*wanted.fields, T.StructField(bad, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    found = rows.where(F.col(line).rlike(r"^\s*\{")).withColumn("__e", read).where(f"__e is not null and __e.{bad} is null")
+    return found.select(*[c for c in rows.columns if c not in wanted.fieldNames()], *[f"__e.{n}" for n in wanted.fieldNames()])
+
+
 def read_event_log(spark: SparkSession, path: str, schema: T.StructType = EVENT) -> DataFrame:
     """Rows of a JSON-lines log; lines that are no object are left out."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\{"))
-    return lines.select(F.from_json("value", schema).alias("e")).where("e is not null and e.type is not null").select("e.*")
+    return event_lines(spark.read.text(path), "value", schema).drop("value")
 
 
 def list_pages(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -87,16 +98,32 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_once(df: DataFrame, folder: str, text: str) -> str:
-    """Write df under the digest of `text`; content that is there already is never overwritten.  Returns the path."""
-    key = df.sparkSession.range(1).select(text_key(F.lit(text), 32)).first()[0]
-    df.write.mode("ignore").parquet(f"{folder}/{key}")
-    return f"{folder}/{key}"
+    """Write df under the digest of `text`; content that is there already is never overwritten.  Returns the path.
+
+    The files are written beside their place and moved there in one step, so a reader
+    sees all of them or none, and of two writers the first wins.
+    """
+    path = f"{folder}/{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+    gateway = df.sparkSession.sparkContext._gateway
+    hadoop, conf = gateway.jvm.org.apache.hadoop.fs, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    if not fs.exists(target):
+        draft = hadoop.Path(f"{path}.{uuid.uuid4().hex}.draft")
+        df.write.parquet(draft.toString())
+        try:  # fails if the target is there by now
+            hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(target), gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError:
+            fs.delete(draft, True)
+            if not fs.exists(target):
+                raise
+    return path
 
 
 def write_package(tables: dict[str, DataFrame], folder: str, by: str = "book_id") -> None:
-    """The tables of a package, each partitioned by book."""
+    """The tables of a package, each partitioned by book; only the books that the tables hold are replaced."""
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy(by).parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{folder}/{name}")
 
 
 def write_events(df: DataFrame, folder: str) -> None:

@@ -190,9 +190,11 @@ def guidance(samples: int = 3, hold: float = 1.0, cool_down: float = 15.0) -> St
 
 
 def heartbeat() -> Stateful:
-    """Rows (arrival, sequence, digest): accepted, stale, replay or collision against the highest sequence so far."""
+    """Rows (arrival, sequence, digest): accepted, stale, replay or collision against the highest sequence so far; invalid without a sequence."""
 
     def step(state: dict, row: dict) -> list[dict]:
+        if row["sequence"] is None:
+            return [{"arrival": int(row["arrival"]), "sequence": None, "outcome": "invalid"}]
         s, d = int(row["sequence"]), row["digest"]
         if state.get("s") is None or s > state["s"]:
             state.update(s=s, d=d)

@@ -280,5 +280,42 @@ def test_sign_words_hold_every_element(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
-    near = entry.queries()["vector_sign_matches"](spark, folder)
-    assert {(r["q_id"], r["vec_id"], r["bits"]) for r in near.collect()} == set(con.sql(entry.oracle_sql()["vector_sign_matches"]).fetchall())
+    near = entry.queries()["vector_hashes"](spark, folder)
+    assert {(r["q_id"], r["vec_id"], r["bits"]) for r in near.collect()} == set(con.sql(entry.oracle_sql()["vector_hashes"]).fetchall())
+
+
+def test_atomic_and_partial_writes(spark, tmp_path):
+    import os
+
+    from quirework.sources import files
+
+    df = spark.range(3)
+    path = files.write_once(df, str(tmp_path), "content")
+    assert files.write_once(spark.range(9), str(tmp_path), "content") == path and spark.read.parquet(path).count() == 3
+    assert sorted(os.listdir(tmp_path)) == [os.path.basename(path)] or all(".draft" not in n for n in os.listdir(tmp_path))
+    books = lambda *rows: {"nodes": spark.createDataFrame(rows, "book_id string, n int")}
+    files.write_package(books(("a", 1), ("b", 2)), str(tmp_path / "pack"))
+    files.write_package(books(("b", 3)), str(tmp_path / "pack"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "pack" / "nodes")).select("book_id", "n").collect()} == {("a", 1), ("b", 3)}
+
+
+def test_event_lines(spark, tmp_path):
+    from quirework.sources import files
+
+    lines = ['{"type": "a", "code": "x"}', '{"code": "y"}', "{}", "[1]", "3", "{broken", "", '  {"type": null}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    got = files.read_event_log(spark, str(tmp_path / "log.jsonl")).select("type", "code").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [("a", "x"), (None, "y"), (None, None), (None, None)]))
+
+
+def test_values_outside_the_list_are_counted(spark):
+    df = spark.createDataFrame([("x",), ("x",), ("z",), (None,)], "t string")
+    assert {tuple(r) for r in delivery.zero_filled(df, ["x", "y"], "t").collect()} == {("x", 2), ("y", 0), ("z", 1), (None, 1)}
+
+
+def test_revision_checks(spark):
+    d = spark.createDataFrame([("b", 1, 10), ("b", 2, 11), ("c", 5, 20)], "book string, page int, doc int")
+    n = spark.createDataFrame([("b", 3, 12), ("c", 5, 21), ("c", None, 22)], "book string, page int, doc int")
+    got = {r["book"]: r for r in documents.assembled_revision(d, n, ["book"], "page", "doc").collect()}
+    assert got["b"]["valid"] and (got["b"]["base_pages"], got["b"]["new_pages"]) == (2, 1)
+    assert not got["c"]["valid"] and (got["c"]["repeated_pages"], got["c"]["unnumbered"]) == (1, 1)
