@@ -141,19 +141,19 @@ def safe_int(value: Column | str) -> Column:
     return F.when(F.trim(_c(value)).rlike("^[+-]?[0-9]{1,18}$"), F.trim(_c(value)).try_cast("long"))
 
 
-# Ordered corrections of recognised mathematical terms, (name, pattern, replacement).
-TERM_RULES = [
-    ("continuous_two_functions", r"언속인\s+두\s+회수", "연속인 두 함수"),
-    ("function_before_formula", r"(?<![가-힣])(?:회수|한수|힘수)(?=\s+(?:[fFgG]\s*\(|\$))", "함수"),
-    ("quadratic_function", "이차합수", "이차함수"),
-    ("two_functions_spacing", "두합수", "두 함수"),
-    ("absolute_value", "절맛값", "절댓값"),
-    ("minimum_value", "최앗값", "최솟값"),
-    ("function", r"(?<![가-힣])합수(?=\s|$|[.,?!:;)])", "함수"),
-]
-# Readings of signs, (pattern, reading).
-SIGN_READINGS = [(r"\\leq?\b", " 작거나 같다 "), (r"\\geq?\b", " 크거나 같다 "), (r"\\neq?\b", " 같지 않다 "), ("≤", " 작거나 같다 "), ("≥", " 크거나 같다 "), ("≠", " 같지 않다 "), ("≈", " 거의 같다 "), ("≡", " 항등적으로 같다 ")]
-AXIS_READINGS = [(r"(?<![A-Za-z])[xX]\s*축", "엑스축"), (r"(?<![A-Za-z])[yY]\s*축", "와이축")]
+# How signs, Greek letters, their names in LaTeX and Latin letters are read in Korean.
+SIGN_READINGS = {"≤": " 작거나 같다 ", "≥": " 크거나 같다 ", "≠": " 같지 않다 ", "≈": " 거의 같다 ", "≡": " 항등적으로 같다 "}
+COMMAND_READINGS = {"le": " 작거나 같다 ", "leq": " 작거나 같다 ", "ge": " 크거나 같다 ", "geq": " 크거나 같다 ", "ne": " 같지 않다 ", "neq": " 같지 않다 ", "infty": "무한대"}
+GREEK_READINGS = {
+    "alpha": ("α", "알파"), "beta": ("β", "베타"), "gamma": ("γ", "감마"), "Gamma": ("Γ", "감마"), "delta": ("δ", "델타"), "Delta": ("Δ", "델타"), "epsilon": ("ε", "엡실론"), "zeta": ("ζ", "제타"),
+    "eta": ("η", "에타"), "theta": ("θ", "세타"), "Theta": ("Θ", "세타"), "iota": ("ι", "요타"), "kappa": ("κ", "카파"), "lambda": ("λ", "람다"), "Lambda": ("Λ", "람다"), "mu": ("μ", "뮤"), "nu": ("ν", "뉴"),
+    "xi": ("ξ", "크시"), "pi": ("π", "파이"), "Pi": ("Π", "파이"), "rho": ("ρ", "로"), "sigma": ("σ", "시그마"), "Sigma": ("Σ", "시그마"), "tau": ("τ", "타우"), "phi": ("φ", "파이"), "Phi": ("Φ", "파이"),
+    "chi": ("χ", "카이"), "psi": ("ψ", "프사이"), "Psi": ("Ψ", "프사이"), "omega": ("ω", "오메가"), "Omega": ("Ω", "오메가"),
+}
+LETTER_READINGS = {
+    "a": "에이", "b": "비", "c": "씨", "d": "디", "e": "이", "f": "에프", "g": "지", "h": "에이치", "i": "아이", "j": "제이", "k": "케이", "l": "엘", "m": "엠",
+    "n": "엔", "o": "오", "p": "피", "q": "큐", "r": "알", "s": "에스", "t": "티", "u": "유", "v": "브이", "w": "더블유", "x": "엑스", "y": "와이", "z": "제트",
+}
 
 
 def rewritten(text: Column | str, rules: list[tuple[str, str, str]]) -> Column:
@@ -165,18 +165,40 @@ def rewritten(text: Column | str, rules: list[tuple[str, str, str]]) -> Column:
     return F.struct(t.alias("text"), F.filter(F.array(*counts), lambda c: c["count"] > 0).alias("applied"))
 
 
-def read_aloud(text: Column | str) -> Column:
-    """Text with signs and axes as words, for speech; blanks squeezed."""
-    t = F.regexp_replace(_c(text), r"\|([A-Za-z0-9α-ωΑ-Ω+\-*/^() ]{1,40})\|", "$1의 절댓값")
-    for pattern, reading in SIGN_READINGS + AXIS_READINGS:
-        t = F.regexp_replace(t, pattern, reading)
-    return squeezed(t)
+def _spread(text: Column, before: str, after: str, end: str = "") -> Column:
+    """Products of two to four letters between the given surroundings, with blanks between the letters."""
+    for n in (2, 3, 4):
+        text = F.regexp_replace(text, before + "([A-Za-z])" * n + after, " ".join(f"${k + 1}" for k in range(n)) + end)
+    return text
 
 
-def formula_problem(latex: Column | str, longest: int = 300) -> Column:
-    """The first fault of a recognised formula: EMPTY, UNEXPECTED_SCRIPT, REPETITION, TOO_LONG, or null."""
+def read_aloud(text: Column | str) -> Column:
+    """Text with signs, Greek letters, axes and single letters as words, for speech; blanks squeezed.
+
+    Bars around a formula are read as its absolute value, products of letters between
+    signs or digits letter by letter.  The text is cut once, and each piece is looked up.
+    """
+    t = _spread(_c(text), r"\| *", r" *\|", "의 절댓값")
+    t = F.regexp_replace(t, r"\| *([0-9A-Za-z\p{IsGreek}^()*/+ -]{1,40}?) *\|", "$1의 절댓값")
+    t = _spread(t, r"(?<=[0-9=+*/^(-])", r"(?=[0-9=+*/),^-]|$)")
+    commands = COMMAND_READINGS | {name: reading for name, (_, reading) in GREEK_READINGS.items()}
+    signs = SIGN_READINGS | {sign: reading for sign, reading in GREEK_READINGS.values()} | {"∞": "무한대"}
+    words = {f"\\{name}": reading for name, reading in commands.items()} | signs | {c: r for x, r in LETTER_READINGS.items() for c in (x, x.upper())}
+    one = "".join(signs)
+    piece = rf"(?s)(\\(?:{'|'.join(commands)})\b|[{one}]|(?<![A-Za-z])[xXyY]\s*축|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|[A-Za-z]+|[^\\A-Za-z{one}]+|.)"
+    known = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    read = lambda p: F.when(p.rlike(r"^[xX]\s*축$"), "엑스축").when(p.rlike(r"^[yY]\s*축$"), "와이축").otherwise(F.coalesce(F.try_element_at(known, p), p))
+    return squeezed(F.array_join(F.transform(F.regexp_extract_all(t, F.lit(piece), 1), read), ""))
+
+
+def formula_problems(latex: Column | str, longest: int = 300) -> Column:
+    """array<struct<code, severity>>: all faults of a recognised formula; EMPTY stands alone."""
     t = F.coalesce(_c(latex), F.lit(""))
-    return F.when(F.trim(t) == "", "EMPTY").when(t.rlike("[가-힣一-鿿]"), "UNEXPECTED_SCRIPT").when(t.rlike(r"(?s)(.{3,20}?)\1{4,}"), "REPETITION").when(F.char_length(t) > longest, "TOO_LONG")
+    fault = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    rest = F.array(
+        F.when(t.rlike("[가-힣一-鿿]"), fault("UNEXPECTED_SCRIPT", "error")), F.when(t.rlike(r"(?s)(.{3,20}?)\1{4,}"), fault("REPETITION", "error")), F.when(F.char_length(t) > longest, fault("TOO_LONG", "warning"))
+    )
+    return F.when(F.trim(t) == "", F.array(fault("EMPTY", "warning"))).otherwise(F.array_compact(rest))
 
 
 def hangul_parts(syllable: Column | str) -> Column:

@@ -109,10 +109,20 @@ def doc_reuse(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.when(~own, F.col("asset")).alias("asset"), F.when(own, "synthesize").otherwise("keep").alias("action"))
 
 
+# Rules for this project's own corpus: (name, pattern, replacement), each on what the ones before it left.
+SPELLING_RULES = [("braille line", "점자 +줄", "점자줄"), ("reading place", "읽기 +위치", "읽기위치"), ("low contrast", "low-contrast", "low contrast"), ("line place", "점자줄 +위", "점자줄위")]
+
+
 def doc_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """STR-03, STR-14: corrected terms and readings; how many rules applied."""
-    r = _docs(spark, folder).select("doc_id", X.rewritten(X.read_aloud("text"), X.TERM_RULES).alias("r"))
-    return r.select("doc_id", F.size("r.applied").alias("rules"), F.char_length("r.text").alias("chars"))
+    """STR-03: texts corrected by ordered rules; which rules applied, how often in all, and the length after."""
+    r = _docs(spark, folder).select("doc_id", X.rewritten("text", SPELLING_RULES).alias("r"))
+    return r.select("doc_id", F.concat_ws("|", "r.applied.rule").alias("rules"), F.aggregate("r.applied.count", F.lit(0), lambda s, c: s + c).alias("times"), F.char_length("r.text").alias("chars"))
+
+
+def doc_read_aloud(spark: SparkSession, folder: str) -> DataFrame:
+    """STR-14: each different line with signs and single letters read as words."""
+    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''").distinct()
+    return lines.select("line", X.read_aloud("line").alias("spoken"))
 
 
 def _formula_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +136,7 @@ def _formula_lines(spark: SparkSession, folder: str) -> DataFrame:
 def doc_formulas(spark: SparkSession, folder: str) -> DataFrame:
     """STR-19, STR-20, GRD-08: formula lines of documents parsed; how many have each status and fault."""
     lines = _formula_lines(spark, folder)
-    f = lines.groupBy("line").agg(F.count("*").alias("n")).select("n", M.formula_tree_udf("line").alias("f"), X.formula_problem("line").alias("fault"))
+    f = lines.groupBy("line").agg(F.count("*").alias("n")).select("n", M.formula_tree_udf("line").alias("f"), F.concat_ws(",", F.transform(X.formula_problems("line"), lambda p: F.concat_ws(":", p["code"], p["severity"]))).alias("fault"))
     return f.groupBy(F.col("f.status").alias("status"), "fault").agg(F.count("*").alias("formulas"), F.sum("n").alias("lines"))
 
 
@@ -306,7 +316,17 @@ _SCORE = rf"""CASE WHEN len(regexp_extract_all(t, '[①②③④⑤]|\([1-5]\)|\
   + CASE WHEN regexp_matches(t, '(?:[0-9]+|[A-Za-z])\s*/\s*(?:[0-9]+|[A-Za-z])') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '[A-Za-z0-9]\s*[\^_]\s*[A-Za-z0-9]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '[√∑∫∞π]') THEN 3 ELSE 0 END
   + CASE WHEN {_SIGNS} >= 2 AND {_SIGNS} >= 0.08 * length(t) THEN 2 ELSE 0 END + CASE WHEN length(t) <= 45 AND {_SIGNS} >= 1 AND length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) >= 2 THEN 2 ELSE 0 END END"""
 
+def _rules_sql() -> str:
+    text, hits = "coalesce(text, '')", []
+    for name, pattern, replacement in SPELLING_RULES:
+        hits.append(f"{{'rule': '{name}', 'n': len(regexp_extract_all({text}, '{pattern}'))}}")
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return f"""SELECT doc_id, array_to_string(list_transform(h, lambda x: x.rule), '|') AS rules, CAST(coalesce(list_sum(list_transform(h, lambda x: x.n)), 0) AS INTEGER) AS times, chars
+FROM (SELECT doc_id, list_filter([{', '.join(hits)}], lambda x: x.n > 0) AS h, CASE WHEN text IS NOT NULL THEN CAST(length({text}) AS INTEGER) END AS chars FROM documents)"""
+
+
 SQL = {
+    "doc_terms": _rules_sql(),
     "doc_quality_report": f"""WITH d AS (SELECT {_SRC} AS source, n_chars, {_NOISE} AS noise, {_TABLE} AS tables, n_chars < 100 AS short FROM documents)
 SELECT *, noisy + 3 * table_like + 2 * short AS score FROM (SELECT source, count(*) AS documents, round(avg(n_chars), 4) AS mean_chars, min(n_chars) AS min_chars, max(n_chars) AS max_chars, count(*) FILTER (noise) AS noisy, count(*) FILTER (tables) AS table_like, count(*) FILTER (short) AS short FROM d GROUP BY 1)""",
     "doc_issue_scores": rf"""WITH i AS (SELECT doc_id, unnest(list_filter([CASE WHEN n_chars < 100 THEN 'SHORT' END, CASE WHEN {_MARKS} BETWEEN 2 AND 4 THEN 'CHOICE_OMISSION' END, CASE WHEN regexp_matches(ltrim(text), '^[0-9]+\s') THEN 'NUMBER_PREFIX' END, CASE WHEN lang IS NULL THEN 'NO_LABEL' END], lambda c: c IS NOT NULL)) AS code FROM documents),
@@ -361,7 +381,7 @@ SELECT vec_id, round(list_sum(list_transform(range(1, n + 1), lambda k: abs(a[k]
 QUERIES = {
     q.__name__: q
     for q in (
-        doc_quality_report, doc_issue_scores, doc_source_defaults, doc_support, doc_math_scores, doc_token_classes, doc_choices, doc_lines, doc_normalised, doc_page_labels, doc_duplicates, doc_viewport, doc_reuse, doc_terms, doc_formulas, doc_formula_readings, doc_word_braille, doc_particles,
+        doc_quality_report, doc_issue_scores, doc_source_defaults, doc_support, doc_math_scores, doc_token_classes, doc_choices, doc_lines, doc_normalised, doc_page_labels, doc_duplicates, doc_viewport, doc_reuse, doc_terms, doc_read_aloud, doc_formulas, doc_formula_readings, doc_word_braille, doc_particles,
         doc_language_modes, doc_append, item_similarity, item_alignment, order_semi, order_anti, order_references, order_sets, order_status, order_gapless, order_nested_max, order_percentiles, order_wins, order_regressions,
         order_zip, order_anchor, order_type_deltas, order_pricing, order_nations, vector_hashes, vector_matches, vector_cells,
     )

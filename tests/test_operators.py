@@ -120,15 +120,20 @@ def test_text_functions(spark):
     assert [(s["text"], s["is_math"]) for s in f(X.inline_math_spans(F.lit("a $x^2$ b $$y$$")))] == [("a ", False), ("x^2", True), (" b ", False), ("y", True)]
     assert f(X.without_delimiters(F.lit(" $$ x $$ "))) == "x" and f(X.without_delimiters(F.lit("$x"))) == "$x"
     assert [(o["label"], o["text"]) for o in f(X.labelled_items(F.lit("(가) 하나 (나) 둘"), r"\([가나다라]\)"))] == [("(가)", "하나"), ("(나)", "둘")]
-    r = f(X.rewritten(F.lit("이차합수의 최앗값, 합수 f"), X.TERM_RULES))
-    assert r["text"] == "이차함수의 최솟값, 함수 f" and [(a["rule"], a["count"]) for a in r["applied"]] == [("quadratic_function", 1), ("minimum_value", 1), ("function", 1)]
+    r = f(X.rewritten(F.lit("teh cat, teh  dog"), [("the", r"\bteh\b", "the"), ("blanks", " +", " "), ("pair", "the cat", "cats"), ("never", "bird", "x")]))
+    assert r["text"] == "cats, the dog" and [(a["rule"], a["count"]) for a in r["applied"]] == [("the", 2), ("blanks", 3), ("pair", 1)]
     assert [f(X.page_label(F.lit(t))) for t in ("007", "0", "12345", "x", " 9 ")] == ["7", None, None, None, "9"]
     assert f(X.page_id_from_path(F.lit("a/p3.png"))) == "p003" and f(X.page_id_from_path(F.lit("p3/cover.png"))) is None
     assert tuple(f(X.page_key_parts(F.lit("pg-ab-00000012-R")))) == (12, "R")
     assert f(X.consecutive(F.lit("9"), F.lit("10"))) is True and f(X.consecutive(F.lit(None).cast("string"), F.lit("1"))) is False
     assert [f(X.safe_int(F.lit(t))) for t in ("42", "4.2", "true", "")] == [42, None, None, None]
-    assert f(X.formula_problem(F.lit("가"))) == "UNEXPECTED_SCRIPT" and f(X.formula_problem(F.lit("abc" * 9))) == "REPETITION" and f(X.formula_problem(F.lit(" "))) == "EMPTY" and f(X.formula_problem(F.lit("x=1"))) is None
-    assert f(X.read_aloud(F.lit("|ab| ≤ x축"))) == "ab의 절댓값 작거나 같다 엑스축"
+    faults = lambda t: [(p["code"], p["severity"]) for p in f(X.formula_problems(F.lit(t)))]
+    assert faults(" ") == [("EMPTY", "warning")] and faults("x=1") == [] and faults("가" + "abc" * 120) == [("UNEXPECTED_SCRIPT", "error"), ("REPETITION", "error"), ("TOO_LONG", "warning")]
+    spoken = {
+        "|ab| ≤ x축": "에이 비의 절댓값 작거나 같다 엑스축", "2xy+1": "2엑스 와이+1", "f(x) text xlsx": "에프(엑스) text xlsx", "\\alpha\\leq β": "알파 작거나 같다 베타", "\\foo \\pi": "\\foo 파이", "|x + 1| = Y  축": "엑스 + 1의 절댓값 = 와이축",
+        "": "", "a가 Γ ∞": "에이가 감마 무한대", "x" * 300: "x" * 300, "\\": "\\",
+    }
+    assert {t: f(X.read_aloud(F.lit(t))) for t in spoken} == spoken
     assert tuple(f(X.hangul_parts(F.lit("한")))) == (18, 0, 4) and f(X.hangul_parts(F.lit("a"))) is None
     assert f(X.math_score(F.lit("① 1 ② 2 ③ 3"))) == 0 and f(X.math_score(F.lit("f(x) = x^2 + 1"))) >= 8
 
