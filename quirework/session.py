@@ -20,6 +20,7 @@ def build_session(app: str = "quirework", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
@@ -36,7 +37,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the cluster's ``spark.checkpoint.dir``.  Where the session names
     none, a local session (a test) gets a temporary folder; on a cluster, where a
-    machine's own folder would not survive a lost executor, that is an error.
+    machine's own folder would not survive a lost executor, that is an error.  The
+    files go when the frame is no longer used, if the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints set.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
