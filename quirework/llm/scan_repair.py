@@ -309,11 +309,13 @@ class ScanNoise:
         doubtful = pairs.join(self.repairs.select("w"), "w", "left_anti").where("nw > 0").select("w", "c", F.lit(1.0).alias("gain"), F.lit(False).alias("unlisted"))
         unexplained = lexicon.where(F.col("n") <= most_rare).join(self.repairs.select("w"), "w", "left_anti")
         doubtful = cut_lineage(doubtful.union(unlisted_pairs(unexplained, lexicon, language, min_count, max_distance).withColumn("unlisted", F.lit(True))))
-        bigrams = counted.select(F.col("prev").alias("x"), F.col("w").alias("y")).union(counted.where("next = '$' or next = '#'").select(F.col("w").alias("x"), F.col("next").alias("y"))).groupBy("x", "y").agg(F.count("*").alias("b"))
-        bigrams = cut_lineage(bigrams)
+        # Only pairs with a word in question are counted: those before it and those after it.
+        asked = cut_lineage(doubtful.select("w").union(doubtful.select("c")).distinct().toDF("k"))
+        pairs_of = counted.select(F.col("prev").alias("x"), F.col("w").alias("y")).union(counted.where("next = '$' or next = '#'").select(F.col("w").alias("x"), F.col("next").alias("y")))
+        before, after = (cut_lineage(pairs_of.join(asked, F.col(side) == F.col("k"), "left_semi").groupBy("x", "y").agg(F.count("*").alias("b"))) for side in ("y", "x"))
         context = tokens.join(doubtful.select("w").distinct(), "w", "left_semi").select("prev", "w", "next").distinct().join(doubtful, "w")
-        for x, y, name in (("prev", "w", "pw"), ("w", "next", "wn"), ("prev", "c", "pc"), ("c", "next", "cn")):
-            context = context.join(bigrams.select(F.col("x").alias(x), F.col("y").alias(y), F.col("b").alias(name)), [x, y], "left")
+        for x, y, name, known_pairs in (("prev", "w", "pw", before), ("w", "next", "wn", after), ("prev", "c", "pc", before), ("c", "next", "cn", after)):
+            context = context.join(known_pairs.select(F.col("x").alias(x), F.col("y").alias(y), F.col("b").alias(name)), [x, y], "left")
         odds = (F.coalesce("pc", F.lit(0)) + 0.5) / (F.greatest(F.coalesce("pw", F.lit(0)) - 1, F.lit(0)) + 0.5) * (F.coalesce("cn", F.lit(0)) + 0.5) / (F.greatest(F.coalesce("wn", F.lit(0)) - 1, F.lit(0)) + 0.5)
         judged = context.withColumn("odds", odds * F.col("gain")).where((F.col("odds") >= min(context_odds, hinted_odds)) & F.expr("not unlisted or (pc is not null and prev not in ('^', '#')) or (cn is not null and next not in ('$', '#'))"))
         chosen = judged.groupBy("prev", "w", "next").agg(F.min(F.struct((-F.col("odds")).alias("o"), "c")).alias("m")).select("prev", "w", "next", (-F.col("m.o")).alias("odds"), F.col("m.c").alias("c"))
