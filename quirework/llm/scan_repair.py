@@ -309,27 +309,30 @@ class ScanNoise:
         doubtful = pairs.join(self.repairs.select("w"), "w", "left_anti").where("nw > 0").select("w", "c", F.lit(1.0).alias("gain"), F.lit(False).alias("unlisted"))
         unexplained = lexicon.where(F.col("n") <= most_rare).join(self.repairs.select("w"), "w", "left_anti")
         doubtful = cut_lineage(doubtful.union(unlisted_pairs(unexplained, lexicon, language, min_count, max_distance).withColumn("unlisted", F.lit(True))))
-        # Only pairs with a word in question are counted: those before it and those after it.
-        asked = cut_lineage(doubtful.select("w").union(doubtful.select("c")).distinct().toDF("k"))
-        pairs_of = counted.select(F.col("prev").alias("x"), F.col("w").alias("y")).union(counted.where("next = '$' or next = '#'").select(F.col("w").alias("x"), F.col("next").alias("y")))
-        before, after = (cut_lineage(pairs_of.join(asked, F.col(side) == F.col("k"), "left_semi").groupBy("x", "y").agg(F.count("*").alias("b"))) for side in ("y", "x"))
-        context = tokens.join(doubtful.select("w").distinct(), "w", "left_semi").select("prev", "w", "next").distinct().join(doubtful, "w")
-        for x, y, name, known_pairs in (("prev", "w", "pw", before), ("w", "next", "wn", after), ("prev", "c", "pc", before), ("c", "next", "cn", after)):
-            context = context.join(known_pairs.select(F.col("x").alias(x), F.col("y").alias(y), F.col("b").alias(name)), [x, y], "left")
+        # What is said of a word is joined to the tokens once: a repair, how a broken word is joined, or that its neighbours are asked.
+        nothing, no = F.lit(None).cast("string"), F.lit(False)
+        marks = self.repairs.select("w", F.col("c").alias("fix"), F.lit(None).cast("boolean").alias("joined"), no.alias("ask")).union(self.broken.select("key", "repair", "join", no)).union(doubtful.select("w").distinct().select("w", nothing, F.lit(None).cast("boolean"), F.lit(True)))
+        flagged = cut_lineage(tokens.drop("rep").join(marks, "w"))
+        # Only neighbours of words in question are counted.
+        asked = doubtful.select("w").union(doubtful.select("c")).distinct()
+        around = cut_lineage(counted.join(asked, "w", "left_semi").groupBy("prev", "w", "next").agg(F.count("*").alias("b")))
+        before, after = around.groupBy("prev", "w").agg(F.sum("b").alias("b")), around.groupBy("w", "next").agg(F.sum("b").alias("b"))
+        context = flagged.where("ask").select("prev", "w", "next").distinct().join(doubtful, "w")
+        for side, word, name, known_pairs in (("prev", "w", "pw", before), ("next", "w", "wn", after), ("prev", "c", "pc", before), ("next", "c", "cn", after)):
+            context = context.join(known_pairs.select(side, F.col("w").alias(word), F.col("b").alias(name)), [side, word], "left")
         odds = (F.coalesce("pc", F.lit(0)) + 0.5) / (F.greatest(F.coalesce("pw", F.lit(0)) - 1, F.lit(0)) + 0.5) * (F.coalesce("cn", F.lit(0)) + 0.5) / (F.greatest(F.coalesce("wn", F.lit(0)) - 1, F.lit(0)) + 0.5)
         judged = context.withColumn("odds", odds * F.col("gain")).where((F.col("odds") >= min(context_odds, hinted_odds)) & F.expr("not unlisted or (pc is not null and prev not in ('^', '#')) or (cn is not null and next not in ('$', '#'))"))
         chosen = judged.groupBy("prev", "w", "next").agg(F.min(F.struct((-F.col("odds")).alias("o"), "c")).alias("m")).select("prev", "w", "next", (-F.col("m.o")).alias("odds"), F.col("m.c").alias("c"))
-        by_context = tokens.join(chosen, ["prev", "w", "next"])
+        by_context = flagged.where("ask").select("id", "pos", "prev", "w", "next").join(chosen, ["prev", "w", "next"])
         if hints is not None:
             sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.5)), F.lit(1.0))
             h = hints.select(F.col(self.row_id).alias("__hid"), (hinted_odds + (context_odds - hinted_odds) * (2 * sure - 1)).alias("__need")).groupBy("__hid").agg(F.min("__need").alias("__need"))
             by_context = by_context.join(h, F.col("id") == F.col("__hid"), "left").where(F.col("odds") >= F.coalesce("__need", F.lit(context_odds)))
         else:
             by_context = by_context.where(F.col("odds") >= context_odds)
-        plain = tokens.join(self.repairs, "w").select("id", "pos", "c")
-        in_broken = tokens.join(self.broken.where("repair is not null").select(F.col("key").alias("w"), F.col("repair").alias("c")), "w").select("id", "pos", "c")
-        self.misread = plain.unionByName(by_context.select("id", "pos", "c")).unionByName(in_broken)
-        self.hyphens = tokens.join(self.broken.where("join").select(F.col("key").alias("w")), "w", "left_semi").select("id", "pos")
+        self.misread = flagged.where("fix is not null").select("id", "pos", F.col("fix").alias("c")).unionByName(by_context.select("id", "pos", "c"))
+        self.breaks = flagged.where("joined is not null").select("id", "pos", "joined")
+        self.hyphens = self.breaks.where("joined").select("id", "pos")
 
     def kinds(self) -> DataFrame:
         """(row_id, noise): each kind of noise in a row once: hyphen, misread, header, page_number."""
@@ -338,7 +341,7 @@ class ScanNoise:
 
     def repaired(self) -> DataFrame:
         """(row_id, repaired_text): continuous text without running heads and page numbers, words whole and put right."""
-        words = self.tokens.where(F.col("w").contains(BREAK)).join(self.broken, F.col("w") == F.col("key")).select("id", "pos", F.when(F.col("join"), "J").otherwise("H").alias("how"), F.lit(None).cast("string").alias("c"))
+        words = self.breaks.select("id", "pos", F.when(F.col("joined"), "J").otherwise("H").alias("how"), F.lit(None).cast("string").alias("c"))
         fixes = words.unionByName(self.misread.select("id", "pos", F.lit(None).cast("string").alias("how"), "c")).groupBy("id").agg(F.collect_list(F.struct("pos", "how", "c")).alias("fixes")).withColumnRenamed("id", "__fid")
         work = self.cut.join(fixes, F.col("id") == F.col("__fid"), "left").select("id", "canonical_text", "dropped", "fixes")
         id_type = dict(self.texts.dtypes)["id"]
