@@ -394,7 +394,45 @@ t AS (SELECT *, max(sequence) OVER w AS top, arg_max(upload_digest, sequence * C
 outcomes AS (SELECT *, CASE WHEN top IS NULL OR sequence > top THEN 'accepted' WHEN sequence < top THEN 'stale' WHEN upload_digest IS NOT DISTINCT FROM held THEN 'replay' ELSE 'collision' END AS outcome FROM t)"""
 
 
+_FRAMES = """
+placed AS (
+  SELECT recording_id, epoch_us(captured_at) / 1e6 AS t, CAST(frame_index AS BIGINT) AS frame, lower(regexp_replace(label, '[^A-Za-z]', '', 'g')) AS kind, lower(page_spread) AS spread
+  FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame_index ORDER BY anchor_id) AS first FROM scanner_video_v3a2_temporal_labels) WHERE first = 1),
+seen AS (SELECT *, lag(spread) OVER w AS before, row_number() OVER w AS n FROM placed WINDOW w AS (PARTITION BY recording_id ORDER BY frame)),
+frames AS (
+  SELECT *, CASE WHEN spread IS NULL OR before IS NULL THEN 'SAME' WHEN spread = before THEN 'REPEAT' ELSE 'CHANGED' END AS relation, coalesce(kind = 'cleantransferable', false) AS eligible, n % 20 = 1 AS armed,
+    CASE WHEN kind <> 'cleantransferable' THEN kind END AS reason, row_number() OVER (PARTITION BY recording_id ORDER BY t NULLS FIRST, frame) AS k FROM seen WHERE recording_id IS NOT NULL),
+starts AS (SELECT DISTINCT recording_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame, CAST(NULL AS DOUBLE) AS t FROM frames)"""
+
+
+def _folded(state: str, step: str, inner: str) -> str:
+    """A recursive fold over each recording's frames: the first state, the next one, and what it is made of."""
+    return f"WITH RECURSIVE {_FRAMES}, fold AS (SELECT *, {state} FROM starts UNION ALL SELECT recording_id, k, frame, t, {step} FROM (SELECT f.recording_id, f.k, f.frame, f.t, {inner} FROM fold s JOIN frames f ON f.recording_id = s.recording_id AND f.k = s.k + 1))"
+
+
 SQL = {
+    "frame_page_changes": _folded(
+        "0 AS held, false AS latched, false AS fired", "CASE WHEN shut THEN was WHEN skip OR up >= 2 THEN 0 ELSE up END, shut OR (NOT skip AND up >= 2), NOT shut AND NOT skip AND up >= 2",
+        "s.latched AND NOT f.armed AS shut, CASE WHEN f.armed THEN 0 ELSE s.held END AS was, NOT f.eligible OR f.relation = 'SAME' AS skip, CASE WHEN f.relation = 'REPEAT' AND s.held > 0 AND NOT f.armed THEN s.held + 1 ELSE 1 END AS up",
+    ) + " SELECT recording_id, frame, t FROM fold WHERE fired",
+    "frame_checks": _folded(
+        "0 AS burst, 0 AS audit, '' AS reason", "CASE reason WHEN 'BURST' THEN b + 1 WHEN 'BURST_TIMEOUT' THEN b ELSE 0 END, CASE reason WHEN 'UNCHANGED' THEN a + 1 ELSE 0 END, reason",
+        "s.burst AS b, s.audit AS a, CASE WHEN NOT f.eligible THEN 'INELIGIBLE' WHEN f.relation = 'CHANGED' THEN CASE WHEN s.burst >= 5 THEN 'BURST_TIMEOUT' ELSE 'BURST' END WHEN s.audit >= 3 THEN 'AUDIT' ELSE 'UNCHANGED' END AS reason",
+    ) + " SELECT CASE WHEN reason IN ('BURST', 'AUDIT') THEN 'request' ELSE 'skip' END AS action, reason, count(*) AS n FROM fold WHERE k > 0 GROUP BY 1, 2",
+    "frame_guidance": _folded(
+        "CAST(NULL AS VARCHAR) AS reason, 0 AS n, CAST(NULL AS DOUBLE) AS since, CAST(NULL AS VARCHAR) AS said, CAST(NULL AS DOUBLE) AS at_t, false AS fired",
+        "reason, n, since, CASE WHEN go THEN reason ELSE said END, CASE WHEN go THEN t ELSE at_t END, go",
+        """f.reason, CASE WHEN f.reason IS NULL THEN 0 WHEN f.reason IS DISTINCT FROM s.reason THEN 1 ELSE s.n + 1 END AS n, CASE WHEN f.reason IS NOT NULL AND f.reason IS DISTINCT FROM s.reason THEN f.t ELSE s.since END AS since, s.said, s.at_t,
+        f.reason IS NOT NULL AND CASE WHEN f.reason IS DISTINCT FROM s.reason THEN 1 ELSE s.n + 1 END >= 2 AND f.t - CASE WHEN f.reason IS DISTINCT FROM s.reason THEN f.t ELSE s.since END >= 0.5 AND NOT coalesce(s.said = f.reason AND f.t - s.at_t < 5.0, false) AS go""",
+    ) + " SELECT recording_id, frame, reason FROM fold WHERE fired",
+    "frame_pulses": _folded(
+        "CAST(NULL AS DOUBLE) AS due, false AS fired", "CASE WHEN NOT eligible THEN NULL WHEN due IS NULL THEN t + 0.5 WHEN t >= due THEN t + 0.25 ELSE due END, eligible AND (due IS NULL OR t >= due)", "f.eligible, s.due",
+    ) + " SELECT recording_id, frame, t FROM fold WHERE fired",
+    "frame_ledger": _folded(
+        "CAST(NULL AS VARCHAR) AS pending, CAST([] AS VARCHAR[]) AS ring, 0 AS known", "CASE WHEN put THEN artifact WHEN ok THEN NULL ELSE pending END, next, CASE WHEN list_contains(next, artifact) THEN 1 ELSE 0 END",
+        """coalesce(f.spread, 'none') AS artifact, f.n % 2 = 1 AS put, f.n % 2 = 0 AND s.pending IS NOT DISTINCT FROM coalesce(f.spread, 'none') AS ok, s.pending,
+        CASE WHEN f.n % 2 = 0 AND s.pending IS NOT DISTINCT FROM coalesce(f.spread, 'none') AND NOT list_contains(s.ring, coalesce(f.spread, 'none')) THEN list_append(s.ring, coalesce(f.spread, 'none'))[-32:] ELSE s.ring END AS next""",
+    ) + " SELECT recording_id, CAST(max(len(ring)) AS INTEGER) AS held, CAST(sum(known) AS BIGINT) AS known FROM fold WHERE k > 0 GROUP BY 1",
     "event_scopes": f"SELECT user_id, scope, count(*) AS n, round(sum(value), 4) AS value, min(ts) AS first_ts FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER ({_S}) AS BIGINT) AS scope FROM events) GROUP BY 1, 2",
     "event_runs": f"WITH {_ISLES} SELECT user_id, CAST(island AS BIGINT) AS island, min(event_type) AS event_type, count(*) AS n, min(ts) AS first_time, max(ts) AS last_time FROM isles GROUP BY 1, 2",
     "event_token_runs": f"""WITH k AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL WHEN event_type IN ('click', 'view') THEN 'TEXT' ELSE 'MATH' END AS kind FROM events),

@@ -22,11 +22,17 @@ Step = Callable[[dict, dict], list[dict]]
 
 @dataclass(frozen=True)
 class Stateful:
-    """A step with the schema of its output (without the key) and the order of its rows."""
+    """A step with the schema of its output (without the key) and the order of its rows.
+
+    In a live stream (stream with live), a key that has had no row for quiet_ms of clock
+    time gives the rows of on_quiet and its state is removed; otherwise it is kept.
+    """
 
     step: Step
     schema: str
     order: tuple[str, ...]
+    on_quiet: Callable[[dict], list[dict]] | None = None
+    quiet_ms: int | None = None
 
     def _names(self) -> list[str]:
         return [part.split()[0] for part in self.schema.split(", ")]
@@ -52,18 +58,29 @@ class Stateful:
 
         return placed.mapInPandas(fold, f"{key} {dict(rows.dtypes)[key]}, {self.schema}")
 
-    def stream(self, rows: DataFrame, key: str) -> DataFrame:
-        """The same over a stream; the state is JSON text, so it survives restarts and lost executors with the checkpoint."""
-        names, step, order = [key, *self._names()], self.step, list(self.order)
+    def stream(self, rows: DataFrame, key: str, live: bool = False) -> DataFrame:
+        """The same over a stream, live with timers of the clock, else as a replay; the state is JSON text, so it survives restarts and lost executors with the checkpoint."""
+        timeout = GroupStateTimeout.ProcessingTimeTimeout if live and self.quiet_ms else GroupStateTimeout.NoTimeout
+        return rows.groupBy(key).applyInPandasWithState(self.folded(key, live), f"{key} {dict(rows.dtypes)[key]}, {self.schema}", "state string", "append", timeout)
+
+    def folded(self, key: str, live: bool) -> Callable:
+        """The function that a stream applies to a key's rows of one micro-batch, or to its silence."""
+        names, step, order, quiet, wait = [key, *self._names()], self.step, list(self.order), self.on_quiet, self.quiet_ms if live else None
 
         def fold(k: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
             state = json.loads(kept.get[0]) if kept.exists else {}
+            if kept.hasTimedOut:
+                kept.remove()
+                yield pd.DataFrame([{key: k[0], **o} for o in (quiet(state) if quiet else [])], columns=names).astype(object)
+                return
             whole = pd.concat(list(parts))
             out = [{key: k[0], **o} for r in _records(whole, order) for o in step(state, r)]
             kept.update((json.dumps(state),))
+            if wait:
+                kept.setTimeoutDuration(wait)
             yield pd.DataFrame(out, columns=names).astype(object)
 
-        return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {dict(rows.dtypes)[key]}, {self.schema}", "state string", "append", GroupStateTimeout.NoTimeout)
+        return fold
 
 
 def _records(part: pd.DataFrame, order: list[str]) -> list[dict]:
@@ -109,13 +126,14 @@ def page_change(needed: int = 3) -> Stateful:
 
 
 def collector(n: int, k_same: int, k_different: int, timeout: float) -> Stateful:
-    """Rows (t, frame, value, bank): verdict on the values seen since the last one.
-
-    bank holds the accepted values (array of strings).  Without a bank the verdict is
-    DIFFERENT once n values are in and one makes up more than half; with one it is
-    SAME as soon as k_same values are in the bank and DIFFERENT when n are in, at most
-    k_different match and a majority agrees.  Past the time-out it is UNKNOWN.  Null
-    values count for nothing.
+    """Rows (t, frame, value, bank or banks): verdict on the values seen since the last one.
+
+    Each bank holds the accepted values of one artifact (bank: an array of strings;
+    banks: an array of those).  Without a bank the verdict is DIFFERENT once n values
+    are in and one makes up more than half; with banks it is SAME as soon as k_same
+    values are in one of them and DIFFERENT when n are in, at most k_different match
+    any one bank and a majority agrees.  Past the time-out, and in a live stream after as
+    long without a row, it is UNKNOWN.  Null values count for nothing.
     """
 
     def step(state: dict, row: dict) -> list[dict]:
@@ -124,13 +142,14 @@ def collector(n: int, k_same: int, k_different: int, timeout: float) -> Stateful
         verdict = None
         if row["value"] is not None:
             state["seen"].append(row["value"])
-            bank = set(row["bank"]) if row.get("bank") is not None else set()
+            given = row["banks"] if row.get("banks") is not None else [row["bank"]] if row.get("bank") is not None else []
+            banks = [set(b) for b in given if b is not None and len(b)]
             votes = max(state["seen"].count(v) for v in state["seen"])
             agreed = len(state["seen"]) >= n and votes >= n // 2 + 1
-            hits = sum(v in bank for v in state["seen"])
-            if bank and hits >= k_same:
+            hits = max((sum(v in b for v in state["seen"]) for b in banks), default=0)
+            if banks and hits >= k_same:
                 verdict = "SAME"
-            elif agreed and (not bank or hits <= k_different):
+            elif agreed and (not banks or hits <= k_different):
                 verdict = "DIFFERENT"
         if verdict is None and row["t"] - state["start"] >= timeout:
             verdict = "UNKNOWN"
@@ -140,7 +159,10 @@ def collector(n: int, k_same: int, k_different: int, timeout: float) -> Stateful
         state.update(start=None, seen=[])
         return [out]
 
-    return Stateful(step, "frame long, verdict string, samples int", ("t", "frame"))
+    def quiet(state: dict) -> list[dict]:
+        return [{"frame": None, "verdict": "UNKNOWN", "samples": len(state["seen"])}] if state.get("start") is not None else []
+
+    return Stateful(step, "frame long, verdict string, samples int", ("t", "frame"), quiet, int(timeout * 1000))
 
 
 def verification(burst: int = 5, audit_every: int = 4) -> Stateful:

@@ -55,6 +55,31 @@ def test_collector_times_out():
     assert [o["verdict"] for o in one(S.collector(3, 2, 0, 2.0), rows)] == ["UNKNOWN"]
 
 
+def test_collector_keeps_banks_apart():
+    rows = [{"t": k, "frame": k, "value": v, "banks": [["a"], ["b"], None, []]} for k, v in enumerate("abab")]
+    assert [(o["frame"], o["verdict"]) for o in one(S.collector(3, 2, 0, 99.0), rows)] == [(2, "SAME")]
+    spread = [{"t": k, "frame": k, "value": v, "banks": [["a"], ["b"]]} for k, v in enumerate("ab")]
+    assert one(S.collector(2, 2, 1, 99.0), spread) == []  # two hits, but in two artifacts
+
+
+def test_silence_gives_unknown_and_frees_the_state():
+    import json
+
+    class Kept:
+        exists, hasTimedOut, get, removed = True, True, (json.dumps({"start": 1.0, "seen": ["a"]}),), False
+
+        def remove(self):
+            self.removed = True
+
+    kept = Kept()
+    out = list(S.collector(3, 2, 0, 2.0).folded("key", True)(("k",), iter([]), kept))[0].to_dict("records")
+    assert out == [{"key": "k", "frame": None, "verdict": "UNKNOWN", "samples": 1}] and kept.removed
+
+
+def test_a_missing_sequence_is_invalid():
+    assert [o["outcome"] for o in one(S.heartbeat(), [{"arrival": 1, "sequence": None, "digest": "a"}, {"arrival": 2, "sequence": 1, "digest": "a"}])] == ["invalid", "accepted"]
+
+
 def test_heartbeat():
     rows = [{"arrival": k, "sequence": s, "digest": d} for k, (s, d) in enumerate([(1, "a"), (3, "b"), (2, "c"), (3, "b"), (3, "z")])]
     assert [o["outcome"] for o in one(S.heartbeat(), rows)] == ["accepted", "accepted", "stale", "replay", "collision"]
