@@ -7,6 +7,8 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quirework.session import cut_lineage
+
 Z95 = 1.959963984540054
 
 
@@ -107,10 +109,36 @@ def any_of(p: Column, n: Column) -> Column:
     return 1 - F.pow(1 - p, n)
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(__k, n, one column a share): exact quantiles of a value by linear interpolation; __k is the struct of the keys.
+
+    Equal values are counted first, the counts are range-sorted into chunks, and the
+    place of a value follows from the sizes of the chunks before its own: a group that
+    holds all rows spreads over all tasks.  Null values count for nothing.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("__k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    chunks = cut_lineage(counts.repartitionByRange("__k", "v").withColumn("chunk", F.spark_partition_id()))
+    sizes = chunks.groupBy("__k", "chunk").agg(F.sum("c").alias("t"))  # a row for each chunk and the groups in it
+    group = Window.partitionBy("__k")
+    before = sizes.select("__k", "chunk", (F.sum("t").over(group.orderBy("chunk")) - F.col("t")).alias("b"), F.sum("t").over(group).alias("n"))
+    end = F.col("b") + F.sum("c").over(Window.partitionBy("__k", "chunk").orderBy("v"))
+    placed = chunks.join(before, ["__k", "chunk"]).withColumn("hi", end).withColumn("lo", F.col("hi") - F.col("c"))
+    at = lambda place: F.max(F.when((F.col("lo") <= place) & (place < F.col("hi")), F.col("v")))
+    columns = []
+    for name, q in shares.items():
+        place = q * (F.col("n") - 1)
+        columns += [at(F.floor(place)).alias(f"{name}_a"), at(F.ceil(place)).alias(f"{name}_b")]
+    found = placed.groupBy("__k", "n").agg(*columns)
+    between = [(F.col(f"{m}_a") + (F.col(f"{m}_b") - F.col(f"{m}_a")) * (q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1)))).alias(m) for m, q in shares.items()]
+    return found.select("__k", "n", *between)
+
+
 def spread_summary(rows: DataFrame, keys: list[str], value: str, low: float | None = None) -> DataFrame:
     """n, mean, median, 10th percentile (linear) of a value, and the share of rows below `low`."""
     share = F.avg(F.when(F.col(value) < low, 1.0).otherwise(0.0)) if low is not None else F.lit(None).cast("double")
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.1).alias("p10"), share.alias("low_share"))
+    plain = rows.groupBy(F.struct(*keys).alias("__k")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), share.alias("low_share"))
+    out = plain.join(exact_quantiles(rows, keys, value, {"median": 0.5, "p10": 0.1}).drop("n"), "__k", "left")
+    return out.select("__k.*", "n", "mean", "median", "p10", "low_share")
 
 
 def autocorrelation(rows: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 10) -> DataFrame:

@@ -324,3 +324,23 @@ def test_revision_checks(spark):
     got = {r["book"]: r for r in documents.assembled_revision(d, n, ["book"], "page", "doc").collect()}
     assert got["b"]["valid"] and (got["b"]["base_pages"], got["b"]["new_pages"]) == (2, 1)
     assert not got["c"]["valid"] and (got["c"]["repeated_pages"], got["c"]["unnumbered"]) == (1, 1)
+
+
+def test_exact_quantiles(spark):
+    import random
+    import statistics as st
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(5), rng.random() * 9])) for _ in range(700)] + [("one", 4.0), ("none", None)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["k"]: r for r in statistics.spread_summary(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 2.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for k in ("a", "b", None, "one"):
+        v = sorted(x for y, x in rows if y == k and x is not None)
+        place = 0.1 * (len(v) - 1)
+        low = v[int(place)]
+        assert got[k]["n"] == len(v) and got[k]["median"] == pytest.approx(st.median(v)) and got[k]["p10"] == pytest.approx(low + (v[min(int(place) + 1, len(v) - 1)] - low) * (place % 1))
+    assert got["none"]["n"] == 0 and got["none"]["median"] is None
