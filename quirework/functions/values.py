@@ -192,3 +192,17 @@ def region_domain(label: Column, w_share: Column, h_share: Column) -> Column:
         .when(raw.isin("text", "paragraph_title", "title", "header", "footer", "number"), pair("TEXT_LAYOUT_CANDIDATE", "UNKNOWN"))
         .otherwise(pair("UNKNOWN_STRUCTURE_CANDIDATE", "UNKNOWN"))
     )
+
+
+def side_faults(side: Column, x: Column, y: Column, w: Column, h: Column, area_share: Column, frame_w: float, frame_h: float, luminance_range: Column | None = None, margin: int = 2) -> Column:
+    """array<string>: why a page side cannot stand for a fixed layout; empty if nothing speaks against it.
+
+    Fixed values: shares of the frame 0.20 to 0.44 in area, 0.28 in width, 0.70 in
+    height; a range of brightness of 35.  A side without a box is not found.
+    """
+    touches = F.when(side == "left", x <= margin).otherwise(x + w - 1 >= frame_w - 1 - margin) | (y + h - 1 >= frame_h - 1 - margin)
+    rest = F.array_compact(F.array(
+        F.when(touches, "OUT_OF_FRAME"), F.when(h / frame_h < 0.70, "PARTIAL_VERTICAL_EXTENT"), F.when(w / frame_w < 0.28, "NARROW_PAGE_EXTENT"), F.when(~area_share.between(0.20, 0.44), "PAGE_AREA_OUTLIER"),
+        F.when(luminance_range > 35.0, "UNEVEN_ILLUMINATION") if luminance_range is not None else F.lit(None).cast("string"),
+    ))
+    return F.when(x.isNull() | y.isNull() | w.isNull() | h.isNull(), F.array(F.lit("PAGE_NOT_FOUND"))).otherwise(rest)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quirework.functions.text import CHOICE_MARK
+from quirework.functions.formulas import formula_tree_udf
+from quirework.functions.text import CHOICE_MARK, without_delimiters
 from quirework.functions.values import overlap_area
+from quirework.operators import tables
 
 
 def block_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,3 +105,32 @@ def spread_match(left_hit: Column, right_hit: Column, contradiction: Column | No
     """A spread matches if both sides do and, where given, nothing contradicts."""
     hit = F.coalesce(left_hit & right_hit, F.lit(False))
     return hit & ~F.coalesce(contradiction, F.lit(False)) if contradiction is not None else hit
+
+
+def typed_nodes(blocks: DataFrame, block_id: str, label: str, content: str) -> DataFrame:
+    """(block_id, content_type, text, rows, columns, confidence, status, handling, issue): layout blocks as typed nodes.
+
+    A table becomes a TABLE with its size and confidence, or, if it is one row of
+    different choice marks, a TEXT; a formula a MATH node with the status of its tree;
+    an image, chart or figure an UNSUPPORTED_VISUAL that keeps its text or has none;
+    everything else is TEXT.  A null label or content counts as blank text.
+    """
+    b = blocks.select(block_id, F.lower(F.coalesce(label, F.lit(""))).alias("__l"), F.coalesce(content, F.lit("")).alias("__c"))
+    cells = tables.table_cells(b.where("__l = 'table'"), block_id, "__c")
+    shape = tables.table_shape(cells, block_id).select(block_id, "rows", "columns", "confidence")
+    choices = choice_rows(cells, block_id).withColumnRenamed("text", "__choices")
+    t = b.where("__l = 'table'").join(shape, block_id, "left").join(choices, block_id, "left")
+    chosen = F.col("__choices").isNotNull()
+    no_text, no_int = F.lit(None).cast("string"), F.lit(None).cast("int")
+    table_nodes = t.select(
+        block_id, F.when(chosen, "TEXT").otherwise("TABLE").alias("content_type"), F.coalesce("__choices", "__c").alias("text"), F.when(~chosen, F.col("rows")).alias("rows"), F.when(~chosen, F.col("columns")).alias("columns"),
+        F.when(~chosen, F.coalesce("confidence", F.lit(0.0))).alias("confidence"), no_text.alias("status"), no_text.alias("handling"),
+        F.when(chosen, "TABLE_RECLASSIFIED_AS_CHOICE_ROW").when(F.coalesce("confidence", F.lit(0.0)) < 0.8, "TABLE_STRUCTURE_LOW_CONFIDENCE").alias("issue"),
+    )
+    m = b.where("__l in ('formula', 'equation', 'display_formula')").withColumn("__c", without_delimiters("__c")).withColumn("__f", formula_tree_udf("__c"))
+    math_nodes = m.select(block_id, F.lit("MATH"), "__c", no_int, no_int, F.lit(None).cast("double"), F.col("__f.status"), no_text, F.element_at(F.concat("__f.issues", F.array(no_text)), 1))
+    rest = b.where("__l not in ('table', 'formula', 'equation', 'display_formula')")
+    visual = F.col("__l").isin("image", "chart", "figure")
+    handling = F.when(visual, F.when(F.trim("__c") != "", "ANNOUNCE_AND_PRESERVE_TEXT").otherwise("ANNOUNCE_ONLY_NO_TEXT_CAPTURED"))
+    others = rest.select(block_id, F.when(visual, "UNSUPPORTED_VISUAL").otherwise("TEXT"), "__c", no_int, no_int, F.lit(None).cast("double"), no_text, handling, no_text)
+    return table_nodes.union(math_nodes).union(others)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quirework.functions import text as X, values as V
-from quirework.operators import delivery, documents, layout, pages, sequences, statistics, tables
+from quirework.operators import documents, layout, nested, pages, sequences, statistics, tables
+from quirework.plans.problems import _SIDES, _box
 from quirework.session import table
 from quirework.sources import files
 
@@ -146,6 +147,25 @@ def doc_revisions(spark: SparkSession, folder: str) -> DataFrame:
     return documents.assembled_revision(d.where(~late), d.where(late), ["book_id"], "page_no", "doc_id")
 
 
+def doc_typed_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """PRJ-03: tables, lines with choice marks (as tables of one row and as figures), formulas and other lines as typed nodes, counted."""
+    lines = table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("t")).where("trim(t) <> ''").groupBy("t").agg(F.count("*").alias("n"))
+    rows = F.concat(F.lit("<table><tr><td>"), F.concat_ws("</td><td>", F.transform(X.choice_options("t"), lambda o: F.concat_ws(" ", o["label"], o["text"]))), F.lit("</td></tr></table>"))
+    marked = F.col("t").rlike(X.CHOICE_MARK)
+    kind = F.when(marked, "table").when(F.col("t").rlike("^[0-9a-z=+ ]*=[0-9a-z=+ ]*$"), "formula").when(F.char_length("t") % 7 == 0, "Figure").otherwise("paragraph_title")
+    blocks = lines.select(F.sha2("t", 256).alias("id"), kind.alias("label"), F.when(marked, rows).otherwise(F.col("t")).alias("content"))
+    blocks = blocks.union(_html(spark, folder).select(F.col("id").cast("string"), F.lit("table"), "html")).union(spark.range(1).select(F.lit("empty"), F.lit("image"), F.lit(" ")))
+    nodes = layout.typed_nodes(blocks, "id", "label", "content")
+    return nodes.groupBy("content_type", "rows", "columns", "confidence", "handling", F.when(F.col("content_type") != "MATH", F.col("issue")).alias("issue")).agg(F.count("*").alias("n"))
+
+
+def side_fallbacks(spark: SparkSession, folder: str) -> DataFrame:
+    """FLT-15: what speaks against each page side as a fixed layout, in a frame of 4000 by 3000."""
+    s = nested.page_side_table(table(spark, folder, "input_manifest"))
+    faults = V.side_faults(F.col("side"), F.col("box_x"), F.col("box_y"), F.col("box_width"), F.col("box_height"), F.col("area_ratio"), 4000.0, 3000.0)
+    return s.select("manifest_id", "capture", "side", F.concat_ws(",", faults).alias("faults")).distinct()
+
+
 def outbox_latest(spark: SparkSession, folder: str) -> DataFrame:
     """STM-16: deliveries of each message's last attempt; stale ones are left out."""
     return sequences.latest_generation(table(spark, folder, "delivery_outbox").select("delivery_row_id", "outbox_id", "attempt_count"), ["outbox_id"], "attempt_count")
@@ -269,6 +289,19 @@ SELECT d.book_id, d.doc_id, idx AS "index", CASE WHEN idx IS NULL THEN 'MISSING_
 o AS (SELECT *, lag(page_no) OVER (PARTITION BY book_id ORDER BY late, page_no NULLS FIRST, doc_id) AS before FROM d)
 SELECT book_id, count(*) AS pages, count(*) FILTER (NOT late) AS base_pages, count(*) FILTER (late) AS new_pages, count(page_no) - count(DISTINCT page_no) AS repeated_pages, count(*) - count(page_no) AS unnumbered, count(*) FILTER (page_no < before) AS steps_back,
   count(page_no) = count(DISTINCT page_no) AND count(*) = count(page_no) AND count(*) FILTER (page_no < before) = 0 AS valid FROM o GROUP BY 1""",
+    "doc_typed_nodes": f"""WITH l AS (SELECT DISTINCT t FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM documents) WHERE trim(t) <> ''),
+k AS (SELECT t, regexp_extract_all(t, '{_MARK}') AS m, length(t) % 7 = 0 AS figure, regexp_matches(t, '^[0-9a-z=+ ]*=[0-9a-z=+ ]*$') AS formula FROM l),
+o AS (
+  SELECT CASE WHEN len(m) > 1 AND len(m) = len(list_distinct(m)) THEN 'TEXT' WHEN len(m) > 0 THEN 'TABLE' WHEN formula THEN 'MATH' WHEN figure THEN 'UNSUPPORTED_VISUAL' ELSE 'TEXT' END AS content_type,
+    CASE WHEN len(m) > 0 AND NOT (len(m) > 1 AND len(m) = len(list_distinct(m))) THEN len(m) END AS columns, CASE WHEN len(m) = 0 AND NOT formula AND figure THEN 'ANNOUNCE_AND_PRESERVE_TEXT' END AS handling,
+    CASE WHEN len(m) > 1 AND len(m) = len(list_distinct(m)) THEN 'TABLE_RECLASSIFIED_AS_CHOICE_ROW' END AS issue FROM k)
+SELECT content_type, CASE WHEN columns IS NOT NULL THEN 1 END AS rows, CAST(columns AS INTEGER) AS columns, CASE WHEN columns IS NOT NULL THEN 0.9 END AS confidence, handling, issue, count(*) AS n FROM o GROUP BY ALL
+UNION ALL SELECT 'TABLE', CAST(n + 1 AS INTEGER), 2, 0.5, NULL, 'TABLE_STRUCTURE_LOW_CONFIDENCE', count(*) FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey) GROUP BY n
+UNION ALL SELECT 'UNSUPPORTED_VISUAL', NULL, NULL, NULL, 'ANNOUNCE_ONLY_NO_TEXT_CAPTURED', NULL, 1""",
+    "side_fallbacks": f"""WITH s AS (SELECT DISTINCT manifest_id, capture, side, {', '.join(f"{_box('body', k, b, 'bbox_full', 'INTEGER')} AS {b[0]}" for k, b in enumerate(nested.BOX))}, TRY_CAST(json_extract_string(body, '$.area_ratio') AS DOUBLE) AS a FROM ({_SIDES}))
+SELECT DISTINCT manifest_id, capture, side, CASE WHEN x IS NULL OR y IS NULL OR w IS NULL OR h IS NULL THEN 'PAGE_NOT_FOUND' ELSE concat_ws(',',
+  CASE WHEN CASE WHEN side = 'left' THEN x <= 2 ELSE x + w - 1 >= 3997 END OR y + h - 1 >= 2997 THEN 'OUT_OF_FRAME' END, CASE WHEN h / 3000 < 0.7 THEN 'PARTIAL_VERTICAL_EXTENT' END,
+  CASE WHEN w / 4000 < 0.28 THEN 'NARROW_PAGE_EXTENT' END, CASE WHEN NOT a BETWEEN 0.2 AND 0.44 THEN 'PAGE_AREA_OUTLIER' END) END AS faults FROM s""",
     "outbox_latest": "SELECT outbox_id, delivery_row_id, attempt_count FROM (SELECT *, max(attempt_count) OVER (PARTITION BY outbox_id) AS m FROM delivery_outbox WHERE outbox_id IS NOT NULL) WHERE attempt_count = m",
     "outbox_ledger": """WITH k AS (SELECT outbox_id, delivery_row_id, updated_at, CASE status WHEN 'acked' THEN 3 WHEN 'sending' THEN 2 WHEN 'queued' THEN 1 END AS r FROM delivery_outbox WHERE outbox_id IS NOT NULL)
 SELECT outbox_id, delivery_row_id, CASE r WHEN 3 THEN 'EXACT_DUPLICATE' WHEN 2 THEN 'VISUAL_DUPLICATE' ELSE 'AMBIGUOUS' END AS kind
@@ -290,6 +323,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         html_cells, html_shapes, html_lookup, doc_math_spans, order_decisions, doc_choice_rows, doc_problem_members, doc_problem_boxes, doc_problem_order, doc_problem_report, doc_focus_items, doc_utterances, doc_preflight,
-        doc_exclusions, doc_cross_checks, doc_anchors, doc_revisions, outbox_latest, outbox_ledger, vector_relations, item_records,
+        doc_exclusions, doc_cross_checks, doc_anchors, doc_revisions, doc_typed_nodes, side_fallbacks, outbox_latest, outbox_ledger, vector_relations, item_records,
     )
 }
